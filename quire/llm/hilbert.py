@@ -6,10 +6,11 @@ inside the JVM. Rows are laid out by index and cut
 into runs of about ``target`` weight: rows near in all dimensions share a file,
 whose ranges then let a reader skip it.
 
-The running weight that decides the cuts is two-level: sums by leading bits of
-the index give each cell's offset (at most 65,536 numbers, whatever the size
-of the input), and a window within the cell does the rest. The one exchange of
-whole rows is by ranges of cells, so output files come out in curve order.
+The running weight that decides the cuts is three-level: sums by the leading 16
+bits of the index (65,536 numbers at most, in one task), sums by whole index
+within those, in parallel, and a window over the rows of one index. Whole rows
+move once, hashed by their whole index, so a hot source is spread over as many
+tasks as it has positions on the curve.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, only, with_new
 
-CELL_BITS = 16
+COARSE_BITS = 16
 
 
 def log_bucket(v: str, bits: int) -> str:
@@ -89,7 +90,7 @@ def _coordinate_by_share(df: DataFrame, name: str, bits: int, out: str) -> DataF
     return c.select(f"{out}k", F.expr(f"b * {1 << bits} div t").alias(out))
 
 
-def shard(df: DataFrame, logs: tuple[str, ...] = ("n_chars",), categories: tuple[str, ...] = ("source", "lang"), linear: tuple[str, ...] = ("doc_id",), weight: str = "n_chars", row_weight: int = 64, bits: int = 8, target: int = 32 << 20) -> DataFrame:
+def shard(df: DataFrame, logs: tuple[str, ...] = ("n_chars",), categories: tuple[str, ...] = ("source", "lang"), linear: tuple[str, ...] = ("doc_id",), weight: str = "n_chars", row_weight: int = 64, bits: int = 12, target: int = 32 << 20) -> DataFrame:
     """All rows and columns, with ``hilbert`` (curve index), ``curve_start`` (weight before the row) and ``shard``.
 
     ``logs`` are quantised on a logarithmic scale, ``categories`` by their
@@ -118,25 +119,27 @@ def shard(df: DataFrame, logs: tuple[str, ...] = ("n_chars",), categories: tuple
         keep = [c for c in d.columns if not c.startswith(("__c", "__a", "__b"))]
         d = d.select(*[F.col(f"`{c}`") for c in keep], F.expr(hilbert_index(x, bits)).alias("h__"))
         w = F.greatest(F.coalesce(F.col(f"`{weight}`").cast("bigint"), F.lit(0)), F.lit(0)) + row_weight
-        return d.select(*[F.col(f"`{c}`") for c in keep], F.col("h__").alias("__h"), F.shiftright("h__", max(0, n * bits - CELL_BITS)).alias("__cell"), w.alias("__w"))
+        return d.select(*[F.col(f"`{c}`") for c in keep], F.col("h__").alias("__h"), w.alias("__w"))
 
     used = list(dict.fromkeys((*logs, *categories, *linear, weight)))
-    cells = indexed(only(df, *used)).groupBy("__cell").agg(F.sum("__w").alias("w"))
-    upto = F.sum("w").over(W.orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow))
-    cells, _ = cut(cells.select(F.col("__cell").alias("__k"), (upto - F.col("w")).alias("__before")))
+    cells, _ = cut(indexed(only(df, *used)).groupBy(F.col("__h").alias("__k")).agg(F.sum("__w").alias("w")).withColumn("top", F.shiftright("__k", max(0, n * bits - COARSE_BITS))))
+    coarse = cells.groupBy("top").agg(F.sum("w").alias("all"))
+    coarse, _ = cut(coarse.select("top", (F.sum("all").over(W.orderBy("top").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("all")).alias("base")))
+    within = W.partitionBy("top").orderBy("__k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cells.join(coarse, "top").select("__k", (F.col("base") + F.sum("w").over(within) - F.col("w")).alias("__before"))
     d = indexed(df.drop(*[c for c in df.columns if c.lower() in ("hilbert", "curve_start", "shard") and c not in used]))
-    d = d.join(cells, F.col("__cell") == F.col("__k")).drop("__k").repartitionByRange("__cell")
-    run = W.partitionBy("__cell").orderBy("__h", *[F.col(f"`{c}`").asc_nulls_first() for c in (*linear, *logs, *categories)]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.join(cells, F.col("__h") == F.col("__k")).drop("__k")
+    run = W.partitionBy("__h").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in (*linear, *logs, *categories)]).rowsBetween(W.unboundedPreceding, W.currentRow)
     d = d.withColumn("__start", F.col("__before") + F.sum("__w").over(run) - F.col("__w"))
-    return with_new(d, hilbert=F.col("__h"), curve_start=F.col("__start"), shard=F.expr(f"__start div {target}")).drop("__h", "__cell", "__w", "__before", "__start")
+    return with_new(d, hilbert=F.col("__h"), curve_start=F.col("__start"), shard=F.expr(f"__start div {target}")).drop("__h", "__w", "__before", "__start")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in curve order within a file."""
+    """One folder for each shard, rows in curve order within a file; one more exchange, by ranges of shards."""
     sharded.repartitionByRange("shard", "curve_start").sortWithinPartitions("shard", "curve_start").write.partitionBy("shard").parquet(path)
 
 
-def sql(table: str = "documents", bits: int = 8, target: int = 32 << 20, row_weight: int = 64) -> str:
+def sql(table: str = "documents", bits: int = 12, target: int = 32 << 20, row_weight: int = 64) -> str:
     """The same for DuckDB, for the dimensions n_chars, source, lang, doc_id."""
     def share(c):
         return f"select k, cast((sum(n) over (order by k nulls first rows unbounded preceding) - n) * {1 << bits} // sum(n) over () as bigint) as x from (select {c} as k, count(*) as n from {table} group by {c})"
