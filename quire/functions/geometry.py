@@ -24,7 +24,7 @@ def is_full_width(x_min: Column, x_max: Column, page_w: Column) -> Column:
 
 def off_axis(ctm: Column) -> Column:
     """FLT-6: a transform turned by more than 12 degrees from the axes; malformed ones aren't."""
-    r = F.pmod(F.degrees(F.atan2(F.element_at(ctm, 2), F.element_at(ctm, 1))), F.lit(90.0))
+    r = F.pmod(F.degrees(F.atan2(F.try_element_at(ctm, F.lit(2)), F.try_element_at(ctm, F.lit(1)))), F.lit(90.0))
     return F.coalesce((F.size(ctm) == 6) & (F.least(r, 90.0 - r) > S.WATERMARK_DEGREES + 1e-9), F.lit(False))
 
 

@@ -31,25 +31,28 @@ def _on(keys: list[str], cx: Column, cy: Column, scaled: bool) -> Column:
     return on & (cx >= F.col("__x_min")) & (cx <= F.col("__x_max")) & (cy >= F.col("__y_min")) & (cy <= F.col("__y_max"))
 
 
-def claim(regions: DataFrame, boxes: DataFrame, keys: list[str], scaled: bool = False) -> DataFrame:
-    """JN-2, JN-4: adds ``block_rank``, the first box (by rank) that holds the region's (centre x, top); null for none."""
+def claim(regions: DataFrame, boxes: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
+    """JN-2, JN-4: adds ``block_rank``, the first box (by rank) that holds the region's (centre x, top); null for none.
+
+    With ``scale`` (see page_scale) text and layout are compared as shares of their page maxima.
+    """
     b = _prefixed(boxes, keys, "block_rank")
     d = regions
-    if scaled:
-        d = d.join(page_scale(regions, boxes, keys), keys, "left")
-    j = d.select(*keys, "region_idx", G.center(F.col("x_min"), F.col("x_max")).alias("__cx"), F.col("y_min").alias("__cy"), *(["tw", "th", "lw", "lh"] if scaled else []))
-    first = j.join(b, _on(keys, F.col("__cx"), F.col("__cy"), scaled)).groupBy(*keys, "region_idx").agg(F.min("__block_rank").alias("block_rank"))
+    if scale is not None:
+        d = d.join(scale, keys, "left")
+    j = d.select(*keys, "region_idx", G.center(F.col("x_min"), F.col("x_max")).alias("__cx"), F.col("y_min").alias("__cy"), *(["tw", "th", "lw", "lh"] if scale is not None else []))
+    first = j.join(b, _on(keys, F.col("__cx"), F.col("__cy"), scale is not None)).groupBy(*keys, "region_idx").agg(F.min("__block_rank").alias("block_rank"))
     return regions.join(first, [*keys, "region_idx"], "left")
 
 
-def outside(regions: DataFrame, boxes: DataFrame, keys: list[str], scaled: bool = False) -> DataFrame:
+def outside(regions: DataFrame, boxes: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
     """JN-3, FLT-10: the regions whose centre is in none of the boxes."""
     b = _prefixed(boxes, keys)
     d = regions
-    if scaled:
-        d = d.join(page_scale(regions, boxes, keys), keys, "left")
+    if scale is not None:
+        d = d.join(scale, keys, "left")
     cx, cy = G.center(F.col("x_min"), F.col("x_max")), G.center(F.col("y_min"), F.col("y_max"))
-    return d.join(b, _on(keys, cx, cy, scaled), "left_anti").select(*regions.columns)
+    return d.join(b, _on(keys, cx, cy, scale is not None), "left_anti").select(*regions.columns)
 
 
 def block_order(elements: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,9 +65,10 @@ def assemble(regions: DataFrame, elements: DataFrame, keys: list[str]) -> DataFr
     """ORD-8: (keys, block_rank, pos, line): each block's regions in order and merged into paragraphs; leftovers outside noise boxes last, by their top."""
     blocks = block_order(elements, keys)
     noise = elements.where(F.col("element_type").isin(*S.NOISE_TYPES))
-    claimed = claim(regions, blocks, keys, scaled=True)
+    scale = page_scale(regions, elements, keys)
+    claimed = claim(regions, blocks, keys, scale)
     own = columns.reading_order(claimed.where("block_rank is not null"), [*keys, "block_rank"], in_block=True)
-    left = outside(claimed.where("block_rank is null"), noise, keys, scaled=False)
+    left = outside(claimed.where("block_rank is null"), noise, keys, scale)
     left = left.withColumn("block_rank", F.lit(2147483647)).withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("y_min", "region_idx")))
     cols = [*keys, "block_rank", "pos", "y_min", "text"]
     return lines.paragraphs(own.select(*cols).unionByName(left.select(*cols)), [*keys, "block_rank"], "pos", "y_min", "text")

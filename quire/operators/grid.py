@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from ..staging import cut
 
 
 def upper_median(values: Column) -> Column:
@@ -94,7 +95,7 @@ def assign_cells(cell: DataFrame, centers: DataFrame, keys: list[str]) -> DataFr
     d = cell.withColumn("__k", n).where("__k >= 2").join(centers, keys)
     near = d.groupBy(*keys, "row_no", "cell_no", "x", "y", "h", "text").agg(F.min_by("col", F.struct(F.abs(F.col("x") - F.col("center")), "col")).alias("col"))
     pick = F.struct((F.col("text") == "").alias("e"), "x", "cell_no", "y", "h", "text")
-    return near.groupBy(*keys, "row_no", "col").agg(F.min(pick).alias("p")).select(*keys, "row_no", "col", "p.x", "p.y", "p.h", "p.text")
+    return near.groupBy(*keys, "row_no", "col").agg(F.min(pick).alias("__p")).select(*keys, "row_no", "col", "__p.x", "__p.y", "__p.h", "__p.text")
 
 
 def alignment(placed: DataFrame, keys: list[str], page_w: Column, tolerant: bool = False) -> DataFrame:
@@ -118,11 +119,11 @@ def alignment(placed: DataFrame, keys: list[str], page_w: Column, tolerant: bool
 def reconstruct(regions: DataFrame, keys: list[str], tolerant: bool = False) -> DataFrame:
     """GRD-5: one row for each page that is a table: (keys, cols, has_header, header, rows) of text, x, y, h."""
     big = regions.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).where("__n >= 4").drop("__n")
-    tol = row_tolerance(big, keys)
+    tol = cut(row_tolerance(big, keys))
     rows = row_groups(big.join(tol, keys), keys, F.col("row_tol"))
-    cell = cells(rows, keys, F.col("page_w") * S.GRID_GAP)
+    cell = cut(cells(rows, keys, F.col("page_w") * S.GRID_GAP))
     cols = column_count(cell, keys)
-    placed = assign_cells(cell, column_centers(cell, cols, keys), keys)
+    placed = cut(assign_cells(cell, column_centers(cell, cols, keys), keys))
     good = alignment(placed.join(tol, keys), keys, F.col("page_w"), tolerant).where("aligned").select(*keys)
     whole = placed.join(good, keys, "left_semi").join(cols, keys)
     c = F.struct("text", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.col("h").cast("float").alias("h"))
@@ -158,9 +159,9 @@ def image_tables(regions: DataFrame, elements: DataFrame, keys: list[str]) -> Da
 
     f = elements.groupBy(*keys).agg(F.bool_or(F.col("element_type") == "figure_title").alias("fig"), F.bool_or(F.col("element_type") == "table_title").alias("tab"))
     images = elements.where("element_type = 'image'").join(f.where("fig and not tab").select(*keys), keys, "left_anti")
-    image = images.select(*keys, "x_min", "x_max", "y_min", "y_max").withColumn("block_rank", F.lit(1))
+    image = images.withColumn("block_rank", F.lit(1))
     shifted = regions.where(X.strip(F.col("text")) != "").withColumn("__y", F.col("y_min")).withColumn("y_min", (F.col("y_min") + F.col("y_max")) / 2)
-    inside = blocks.claim(shifted, image.unionByName(elements.select(*keys, "x_min", "x_max", "y_min", "y_max").withColumn("block_rank", F.lit(None).cast("int"))), keys, scaled=True).where("block_rank = 1")
+    inside = blocks.claim(shifted, image, keys, blocks.page_scale(regions, elements, keys)).where("block_rank = 1")
     inside = inside.withColumn("y_min", F.col("__y")).drop("__y", "block_rank")
     g = reconstruct(inside, keys, tolerant=True)
     every = F.transform(F.flatten(F.concat(F.array("header"), F.col("rows"))), lambda v: v["text"])

@@ -376,7 +376,8 @@ def block_claim_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     s as (select r.*, tw, th, lw, lh from r join w on w.doc_id = r.doc_id join v on v.doc_id = r.doc_id)
     select r.doc_id, r.region_idx, min(block_rank) as block_rank from r left join s on s.doc_id = r.doc_id and s.region_idx = r.region_idx left join b on b.doc_id = s.doc_id and (s.x_min + s.x_max) / 2 / tw >= b.x_min / lw and (s.x_min + s.x_max) / 2 / tw <= b.x_max / lw and s.y_min / th >= b.y_min / lh and s.y_min / th <= b.y_max / lh group by r.doc_id, r.region_idx""")
 def block_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.claim(A.regions(spark, sf_dir), A.boxes(spark, sf_dir), _KEY, scaled=True).select("doc_id", "region_idx", "block_rank")
+    r, b = A.regions(spark, sf_dir), A.boxes(spark, sf_dir)
+    return B.claim(r, b, _KEY, B.page_scale(r, b, _KEY)).select("doc_id", "region_idx", "block_rank")
 
 
 @query(f"with {A.REGIONS}, {A.NOISE} select r.doc_id, r.region_idx from r where not exists (select 1 from z where {_IN.format(b='z', y='(r.y_min + r.y_max) / 2')})")

@@ -1,0 +1,273 @@
+"""Positioned text of PDF files with the standard library: object and xref streams, Flate, page tree, text operators, ToUnicode maps."""
+
+from __future__ import annotations
+
+import re
+import zlib
+
+TOKEN = re.compile(rb"\s+|%[^\r\n]*|(?P<str>\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\))|(?P<dict><<|>>)|(?P<hex><[0-9A-Fa-f\s]*>)|(?P<arr>[\[\]])|(?P<name>/[^\s()<>\[\]{}/%]*)|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<op>[A-Za-z'\"*][A-Za-z0-9*'\"]*)|.", re.S)
+
+
+class PdfError(Exception):
+    def __init__(self, kind: str, detail: str):
+        super().__init__(detail)
+        self.kind, self.detail = kind, detail
+
+
+class Ref(int):
+    pass
+
+
+class Name(str):
+    pass
+
+
+class Op(str):
+    pass
+
+
+_ESC = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _string(raw: bytes) -> bytes:
+    def one(m):
+        v = m[1]
+        if v[:1].isdigit():
+            return bytes([int(v, 8) & 255])
+        return b"" if v in (b"\n", b"\r\n", b"\r") else _ESC.get(v, v)
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", one, raw[1:-1], flags=re.S)
+
+
+def tokens(data: bytes, at: int = 0):
+    for m in TOKEN.finditer(data, at):
+        k = m.lastgroup
+        if k is None:
+            continue
+        v = m[0]
+        if k == "str":
+            yield _string(v)
+        elif k == "hex":
+            h = re.sub(rb"\s", b"", v[1:-1])
+            yield bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+        elif k == "name":
+            yield Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), v[1:]).decode("latin-1"))
+        elif k == "num":
+            yield float(v) if b"." in v else int(v)
+        else:
+            yield Op(v.decode("latin-1"))
+
+
+def _value(it, first=None):
+    """One object from a token stream; references as Ref."""
+    stack: list[list] = [[]]
+    t = first if first is not None else next(it, None)
+    while t is not None:
+        if t in ("<<", "[") and isinstance(t, Op):
+            stack.append([t])
+        elif t in (">>", "]") and isinstance(t, Op):
+            got = stack.pop()
+            vals = got[1:]
+            stack[-1].append(dict(zip(vals[::2], vals[1::2])) if t == ">>" else vals)
+        elif t == "R" and isinstance(t, Op) and len(stack[-1]) >= 2:
+            stack[-1].pop()
+            stack[-1].append(Ref(stack[-1].pop()))
+        elif isinstance(t, Op):
+            if t in ("true", "false", "null"):
+                stack[-1].append({"true": True, "false": False, "null": None}[t])
+            else:
+                break
+        else:
+            stack[-1].append(t)
+        t = next(it, None)
+    return stack[0][0] if stack[0] else None
+
+
+class Pdf:
+    def __init__(self, data: bytes):
+        if not data.startswith(b"%PDF"):
+            raise PdfError("malformed", "not a PDF")
+        self.objects: dict[int, tuple] = {}
+        if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
+            raise PdfError("encrypted", "PDF is encrypted")
+        for m in re.finditer(rb"(?:^|[\s>])(\d+)\s+\d+\s+obj\b(.*?)endobj", data, re.S):
+            body = m[2]
+            s = re.search(rb"stream\r?\n", body)
+            head = body[: s.start()] if s else body
+            raw = re.sub(rb"\r?\n?endstream\s*$", b"", body[s.end() :]) if s else None
+            self.objects[int(m[1])] = (_value(tokens(head)), raw)
+        for _, (d, raw) in list(self.objects.items()):
+            if isinstance(d, dict) and d.get("Type") == "ObjStm" and raw is not None:
+                self._unpack(d, self._inflate(d, raw))
+        if not self.objects:
+            raise PdfError("malformed", "no objects")
+
+    def _unpack(self, d, data):
+        first, n = self.get(d.get("First")), self.get(d.get("N"))
+        head = [t for t in tokens(data[:first])][: 2 * n]
+        for num, off in zip(head[::2], head[1::2]):
+            self.objects.setdefault(int(num), (_value(tokens(data, first + int(off))), None))
+
+    def get(self, v):
+        return self.objects.get(int(v), (None, None))[0] if isinstance(v, Ref) else v
+
+    def _inflate(self, d, raw):
+        f = self.get(d.get("Filter"))
+        for name in f if isinstance(f, list) else [f] if f else []:
+            if name != "FlateDecode":
+                return b""
+            try:
+                raw = zlib.decompressobj().decompress(raw)
+            except zlib.error as e:
+                raise PdfError("malformed", f"stream: {e}") from e
+        return raw
+
+    def stream(self, ref) -> bytes:
+        d, raw = self.objects.get(int(ref), (None, None))
+        return self._inflate(d, raw) if raw is not None else b""
+
+    def pages(self) -> list[dict]:
+        root = next((d for d, _ in self.objects.values() if isinstance(d, dict) and d.get("Type") == "Catalog"), None)
+        if root is None:
+            raise PdfError("malformed", "no catalog")
+        out: list[dict] = []
+        seen = set()
+
+        def walk(ref, inherited):
+            if ref in seen:
+                return
+            seen.add(ref)
+            d = self.get(ref)
+            if not isinstance(d, dict):
+                return
+            own = {**inherited, **{k: d[k] for k in ("Resources", "MediaBox") if k in d}}
+            if d.get("Type") == "Pages" or "Kids" in d:
+                for k in self.get(d.get("Kids")) or []:
+                    walk(k, own)
+            else:
+                out.append({**own, **d})
+
+        walk(root.get("Pages"), {})
+        return out
+
+    def _cmap(self, font) -> tuple[int, dict[int, str]]:
+        ref = font.get("ToUnicode") if isinstance(font, dict) else None
+        if not isinstance(ref, Ref):
+            return (2 if isinstance(font, dict) and font.get("Subtype") == "Type0" else 1), {}
+        text, out, width = self.stream(ref), {}, 1
+        u = lambda b: b.decode("utf-16-be", "replace")
+        for block in re.findall(rb"begincodespacerange(.*?)endcodespacerange", text, re.S):
+            for v in tokens(block):
+                if isinstance(v, bytes):
+                    width = max(1, len(v))
+        for block in re.findall(rb"beginbfchar(.*?)endbfchar", text, re.S):
+            v = [t for t in tokens(block) if isinstance(t, bytes)]
+            out |= {int.from_bytes(a): u(b) for a, b in zip(v[::2], v[1::2])}
+        for block in re.findall(rb"beginbfrange(.*?)endbfrange", text, re.S):
+            it = tokens(block)
+            for a in it:
+                b, c = next(it, None), next(it, None)
+                if isinstance(c, Op) and c == "[":
+                    for k, t in enumerate(iter(lambda: next(it), Op("]"))):
+                        out[int.from_bytes(a) + k] = u(t)
+                elif isinstance(a, bytes) and isinstance(b, bytes) and isinstance(c, bytes):
+                    for k in range(min(int.from_bytes(b) - int.from_bytes(a) + 1, 65536)):
+                        out[int.from_bytes(a) + k] = u((int.from_bytes(c) + k).to_bytes(len(c)))
+        return width, out
+
+    def items(self, page: dict) -> tuple[list[tuple[float, float, float, float, str]], int]:
+        """(x, y, width, height, text) with y from the bottom, and the number of images drawn."""
+        res = self.get(page.get("Resources")) or {}
+        fonts = {k: self._cmap(self.get(v)) for k, v in (self.get(res.get("Font")) or {}).items()}
+        xobj = {k: self.get(v) for k, v in (self.get(res.get("XObject")) or {}).items()}
+        c = page.get("Contents")
+        c = self.get(c) if isinstance(self.get(c), list) else c
+        data = b"\n".join(self.stream(r) for r in (c if isinstance(c, list) else [c]) if isinstance(r, Ref))
+        out, images, args = [], 0, []
+        ctm, stack = (1, 0, 0, 1, 0, 0), []
+        tm = line = (1, 0, 0, 1, 0, 0)
+        size, lead, font = 1.0, 0.0, (1, {})
+
+        def mul(a, b):
+            return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+        def show(parts):
+            nonlocal tm
+            text = ""
+            width = 0.0
+            for p in parts:
+                if isinstance(p, bytes):
+                    n, cmap = font
+                    codes = [int.from_bytes(p[i : i + n]) for i in range(0, len(p), n)]
+                    s = "".join(cmap.get(k, "" if cmap else p[i * n : i * n + n].decode("latin-1")) for i, k in enumerate(codes))
+                    text += s
+                    width += sum((1.0 if ord(ch) > 0x2E80 else 0.5) for ch in s) * size
+                elif isinstance(p, (int, float)):
+                    width -= p / 1000 * size
+                    if p < -200 and text and not text.endswith(" "):
+                        text += " "
+            at = mul(tm, ctm)
+            if text.strip():
+                out.append((at[4], at[5], width * abs(at[0] or at[1] or 1), abs(size * (at[3] or at[2] or 1)), text))
+            tm = mul((1, 0, 0, 1, width, 0), tm)
+
+        def down(x, y):
+            nonlocal tm, line
+            tm = line = mul((1, 0, 0, 1, x, y), line)
+
+        depth: list[list] = []
+        for t in tokens(data):
+            if isinstance(t, Op):
+                if t == "[":
+                    depth.append([])
+                    continue
+                if t == "]":
+                    if depth:
+                        args.append(depth.pop())
+                    continue
+                num = [a for a in args if isinstance(a, (int, float))]
+                if t == "q":
+                    stack.append(ctm)
+                elif t == "Q" and stack:
+                    ctm = stack.pop()
+                elif t == "cm" and len(num) >= 6:
+                    ctm = mul(tuple(num[-6:]), ctm)
+                elif t == "BT":
+                    tm = line = (1, 0, 0, 1, 0, 0)
+                elif t == "Tf" and len(args) >= 2:
+                    font, size = fonts.get(args[-2], (1, {})), float(num[-1]) if num else 1.0
+                elif t == "TL" and num:
+                    lead = num[-1]
+                elif t in ("Td", "TD") and len(num) >= 2:
+                    if t == "TD":
+                        lead = -num[-1]
+                    down(num[-2], num[-1])
+                elif t == "Tm" and len(num) >= 6:
+                    tm = line = tuple(num[-6:])
+                elif t == "T*":
+                    down(0, -lead)
+                elif t in ("Tj", "'", '"') and args and isinstance(args[-1], bytes):
+                    if t != "Tj":
+                        down(0, -lead)
+                    show([args[-1]])
+                elif t == "TJ" and args and isinstance(args[-1], list):
+                    show(args[-1])
+                elif t == "Do" and args and isinstance(x := xobj.get(args[-1]), dict) and x.get("Subtype") == "Image":
+                    images += 1
+                args = []
+            elif depth:
+                depth[-1].append(t)
+            else:
+                args.append(t)
+        return out, images
+
+
+def extract(data: bytes):
+    """Rows (page_no from 1, x, y, width, height, text) and (page_no, images) of each page."""
+    pdf = Pdf(data)
+    pages = pdf.pages()
+    if not pages:
+        raise PdfError("malformed", "no pages")
+    for n, p in enumerate(pages, 1):
+        items, images = pdf.items(p)
+        yield n, [i for i in items if not i[4].lstrip().startswith("[Image:")], images
