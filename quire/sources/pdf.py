@@ -144,7 +144,7 @@ class Pdf:
             if d.get("Type") == "Pages" or "Kids" in d:
                 for k in self.get(d.get("Kids")) or []:
                     walk(k, own)
-            else:
+            elif d.get("Type") in (None, "Page"):
                 out.append({**own, **d})
 
         walk(root.get("Pages"), {})
