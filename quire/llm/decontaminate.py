@@ -185,7 +185,7 @@ def _pieces(tests: DataFrame, id_col: str, text_col: str, piece_words: int) -> I
         yield ids, texts
 
 
-def match_columns(tests: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text", min_words: int = 13, least: int = 5, shard_bytes: int = 8 << 20, piece_words: int = 4_000_000) -> list[Column]:
+def match_columns(tests: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text", min_words: int = 13, least: int = 5, shard_bytes: int = 4 << 20, piece_words: int = 4_000_000) -> list[Column]:
     """For each piece of the tests, a column with the longest match of each item in the text (first place in the text on a tie)."""
     return [arrow(_matcher(Tests(i, t, min_words, least), shard_bytes), MATCH)(F.lower(text)) for i, t in _pieces(tests, id_col, text_col, piece_words)]
 

@@ -183,7 +183,7 @@ class Lattice:
 class Scorer:
     """Scores of texts, with a memory of the words met, which starts anew when it holds ``most``."""
 
-    def __init__(self, lattice: Lattice, most: int = 600_000):
+    def __init__(self, lattice: Lattice, most: int = 400_000):
         self.lattice, self.most = lattice, most
         self.ids: dict[str, int] = {}
         self.scores = np.zeros((0, lattice.n_models))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .lattice import VOCABULARY, Lattice, Scorer, count_pieces, log_probabilities, vocabulary
 from .shared import arrow, only, with_new
 
-_scorers: dict[str, Scorer] = {}
+_lattices: dict[str, Lattice] = {}
 
 
 def word_counts(docs: DataFrame, text_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -88,13 +88,16 @@ def piece_counts(counted: DataFrame, path: str, keys: tuple[str, ...] = ()) -> d
 def lattice_column(name: str, spark, scores: np.ndarray, text: Column, path: str, after, kind: str) -> Column:
     """``after(log-probabilities, words)`` as a column; a worker builds the lattice of the model ``name`` once."""
     sent = spark.sparkContext.broadcast(scores)
+    mine: list[Scorer] = []  # a task's own copy, so that its memory of words ends with it
 
     def run(arr: pa.Array) -> pa.Array:
-        s = _scorers.get(name)
-        if s is None:
-            _scorers.clear()
+        if name not in _lattices:
+            _lattices.clear()
             _, used, byte_ids = vocabulary(path)
-            s = _scorers[name] = Scorer(Lattice(used, sent.value, byte_ids))
+            _lattices[name] = Lattice(used, sent.value, byte_ids)
+        if not mine:
+            mine.append(Scorer(_lattices[name]))
+        s = mine[0]
         parts = []
         for i in range(0, len(arr), 1000):
             parts.append(s.texts(arr.slice(i, 1000).to_pylist()))

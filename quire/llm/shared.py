@@ -46,6 +46,10 @@ def with_new(df: DataFrame, **new) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Python gets 2,000 rows at a time, unless the session has a bound of its own: texts are long."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
