@@ -134,7 +134,7 @@ def normalized(c: Column) -> Column:
     """STR-6: text for comparing extractions: half-width, without links and marks, lower-case letters and digits, CJK and core punctuation."""
     c = half_width_all(c)
     c = F.regexp_replace(c, r"https?://\S+", "")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
+    c = F.regexp_replace(c, r"\[([^\[\]]*)\]\([^()]*\)", "$1")
     c = F.regexp_replace(c, r"[#>*`|_~]", "")
     return F.lower(F.regexp_replace(c, rf"[^{CJK}A-Za-z0-9。，、；：？！（）《》.,;:?!()]", ""))
 

@@ -55,19 +55,20 @@ def error_rate(truth: Column, found: Column) -> Column:
 def _opcodes(a: str, b: str) -> tuple[float, float, float, float, float]:
     import difflib
 
-    m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    same = subs = dels = ins = 0
+    m = difflib.SequenceMatcher(None, a, b)
+    subs = dels = ins = 0
     for op, i, j, k, n in m.get_opcodes():
-        if op == "equal":
-            same += j - i
-        elif op == "replace":
-            subs += max(j - i, n - k)
+        if op == "replace":
+            both = min(j - i, n - k)
+            subs, dels, ins = subs + both, dels + j - i - both, ins + n - k - both
         elif op == "delete":
             dels += j - i
-        else:
+        elif op == "insert":
             ins += n - k
-    r, p = same / max(1, len(a)), same / max(1, len(b))
-    return (subs + dels + ins) / max(1, len(a)), r, p, (2 * r * p / (r + p) if r + p else 0.0), m.ratio()
+    size = max(1, len(a))  # an empty truth counts as found
+    same = size - dels - subs
+    r, p = same / size, same / max(1, len(b))
+    return (subs + dels + ins) / size, r, p, (2 * r * p / (r + p) if r + p else 0.0), m.ratio()
 
 
 def sequence_scores(truth: Column, found: Column) -> Column:

@@ -93,4 +93,4 @@ def error_text(stage: Column, page: Column, kind: Column, detail: Column) -> Col
 def error_hint(kind: Column) -> Column:
     """Advice for an error kind."""
     hints = F.create_map(*[F.lit(v) for k, (_, h) in S.ERRORS.items() for v in (k, h)])
-    return F.coalesce(F.try_element_at(hints, kind), F.lit("未知错误，详见错误详情"))
+    return F.coalesce(F.try_element_at(hints, kind), F.lit(S.NO_HINT))

@@ -258,7 +258,7 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KINDS = list(S.ERRORS)
 
 
-@query("select doc_id, case doc_id % 8 " + " ".join(f"when {i} then '{S.ERRORS[k][1]}'" for i, k in enumerate(_KINDS)) + " else '未知错误，详见错误详情' end as hint from documents")
+@query("select doc_id, case doc_id % 8 " + " ".join("when {} then '{}'".format(i, S.ERRORS[k][1].replace("'", "''")) for i, k in enumerate(_KINDS)) + f" else '{S.NO_HINT}' end as hint from documents")
 def error_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("case doc_id % 8 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate(_KINDS)) + " else 'odd' end")
     return A.table(spark, sf_dir, "documents").select("doc_id", R.error_hint(kind).alias("hint"))
@@ -563,7 +563,7 @@ def _pairs(spark, sf_dir):
 def _norm(c: str) -> str:
     n = f"translate({c}, '{X.WIDE.replace(chr(39), chr(39) * 2)}', '{X.NARROW.replace(chr(39), chr(39) * 2)}')"
     n = f"regexp_replace({n}, 'https?://\\S+', '', 'g')"
-    n = f"regexp_replace({n}, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')"
+    n = f"regexp_replace({n}, '\\[([^\\[\\]]*)\\]\\([^()]*\\)', '\\1', 'g')"
     n = f"regexp_replace({n}, '[#>*`|_~]', '', 'g')"
     return f"lower(regexp_replace({n}, '[^{X.CJK}A-Za-z0-9。，、；：？！（）《》.,;:?!()]', '', 'g'))"
 

@@ -27,18 +27,19 @@ NOISE_TYPES = ("header", "header_image", "footer", "footer_image", "number", "se
 TIERS = ("tiny", "small", "medium")
 KINDS = ("pdf", "ofd", "other")
 SUPPORTED = ("pdf", "ofd", "docx", "doc", "xlsx", "xls", "pptx", "ppt")
-HEADER_WORDS = ("编号", "序号", "名称", "单位", "备注", "项目", "内容", "说明", "条款", "标准", "代号", "类别", "类型", "数量")
+HEADER_WORDS = tuple("备注 标准 编号 代号 单位 数量 类型 类别 名称 说明 内容 条款 项目 序号".split())
 
 #: kind of error: (text shown, advice)
 ERRORS = {
-    "io": ("io error", "文件读写错误（路径不存在/权限不足/磁盘满）"),
-    "encrypted": ("encrypted", "文档已加密，需提供密码或解密后重试"),
-    "malformed": ("malformed document", "文档损坏或结构不可用 — 检查文件完整性"),
-    "missingPart": ("missing part", "文档结构不完整（缺必需部件），可能源文件生成不完整"),
-    "resourceLimit": ("resource limit exceeded", "超出安全限制（可能解压炸弹或文档过大）"),
-    "unsupported": ("unsupported", "格式不支持"),
-    "runtime": ("runtime", "运行时依赖失败 — 检查运行环境与模型文件"),
+    "io": ("io error", "can't read or write: check the path, the permissions and the disk"),
+    "encrypted": ("encrypted", "the document needs a password"),
+    "malformed": ("malformed document", "the document is damaged: check that it is whole"),
+    "missingPart": ("missing part", "the document lacks a part that it must have"),
+    "resourceLimit": ("resource limit exceeded", "the document is larger than the limits allow"),
+    "unsupported": ("unsupported", "no parser for this format"),
+    "runtime": ("runtime", "no recognition engine, or it failed: check its set-up"),
 }
+NO_HINT = "unknown error: see its detail"
 STAGES = ("detect", "extract", "render", "ocr", "assemble", "convert", "output")
 
 ERROR = T.StructType([T.StructField(n, t, True) for n, t in (("kind", T.StringType()), ("stage", T.StringType()), ("page", T.IntegerType()), ("detail", T.StringType()))])

@@ -33,6 +33,9 @@ def _numbers(s: str | None) -> list[float]:
     return [float(v) for v in (s or "").split()]
 
 
+IDENTITY = [float(i % 3 == 0) for i in range(4)] + [0.0] * 2
+
+
 class Package:
     def __init__(self, data: bytes):
         try:
@@ -102,7 +105,7 @@ def text_lines(layer):
             if b[2] > 0 and b[3] > 0:
                 lines.append((b[0], b[0] + b[2], b[1], b[1] + b[3], text))
                 continue
-            m = ctm if len(ctm) == 6 else [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+            m = ctm if len(ctm) == 6 else IDENTITY
             lx, ly = (_number(codes[0].get("X")), _number(codes[0].get("Y"))) if codes else (0.0, 0.0)
             x, y = b[0] + m[0] * lx + m[2] * ly + m[4], b[1] + m[1] * lx + m[3] * ly + m[5]
             lines.append((x, x, y, y + 1.0, text))

@@ -11,10 +11,10 @@ def ofd(pages: list[str]) -> bytes:
     """A package whose pages have these objects (XML)."""
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
-        z.writestr("OFD.xml", "<OFD><DocBody><DocRoot>Doc_0/Document.xml</DocRoot></DocBody></OFD>")
-        z.writestr("Doc_0/Document.xml", "<Document><Pages>" + "".join(f'<Page ID="{i}" BaseLoc="Pages/P{i}/Content.xml"/>' for i in range(len(pages))) + "</Pages></Document>")
+        z.writestr("OFD.xml", "<OFD><DocBody><DocRoot>D/Doc.xml</DocRoot></DocBody></OFD>")
+        z.writestr("D/Doc.xml", "<Document><Pages>" + "".join(f'<Page ID="{i}" BaseLoc="Pages/P{i}/Content.xml"/>' for i in range(len(pages))) + "</Pages></Document>")
         for i, p in enumerate(pages):
-            z.writestr(f"Doc_0/Pages/P{i}/Content.xml", f"<Page><Content><Layer>{p}</Layer></Content></Page>")
+            z.writestr(f"D/Pages/P{i}/Content.xml", f"<Page><Content><Layer>{p}</Layer></Content></Page>")
     return b.getvalue()
 
 

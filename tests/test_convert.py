@@ -9,7 +9,7 @@ from quire.sources import files
 from quire.sources.extract import extract
 from quire.streaming.convert import convert_stream
 
-THREE = [(20, 35, "文档标题样例"), (20, 65, "这是第一段中文内容，用于验证文字型 OFD 提取。"), (20, 90, "第二段：发票号码 2024001，金额 1280.00 元。")]
+THREE = [(18, 30, "年度报告"), (18, 52, "甲方与乙方在此约定以下条目。"), (18, 74, "合计 37 件，共 412.50 元")]
 DOCX = b.office({"word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Body &amp; more</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a&lt;</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl></w:body></w:document>'})
 XLSX = b.office({"xl/workbook.xml": '<workbook><sheets><sheet name="One"/></sheets></workbook>', "xl/sharedStrings.xml": "<sst><si><t>x</t></si></sst>", "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1"><v>3</v></c></row></sheetData></worksheet>'})
 PPTX = b.office({"ppt/presentation.xml": "<p/>", "ppt/slides/slide1.xml": '<sld><sp><nvPr><ph type="title"/></nvPr><p><r><t>T</t></r></p></sp><sp><p><r><t>line</t></r></p></sp></sld>'})
@@ -39,7 +39,7 @@ def test_batch_is_single(spark):
         "plain.pdf": b.pdf([LINES], packed=False),
         "two.pdf": b.pdf([two]),
         "d.docx": DOCX, "x.xlsx": XLSX, "p.pptx": PPTX,
-        "bad.pdf": b"%PDF-1.4\nthis is not a real pdf body\n%%EOF\n",
+        "bad.pdf": b"%PDF-1.5 garbage without any object",
         "enc.pdf": b.pdf([LINES]) + b"trailer << /Encrypt 9 0 R >>",
         "bad.docx": b"PK\x03\x04 broken", "old.doc": bytes.fromhex("D0CF11E0A1B11AE1") + b"0" * 99,
         "short.pdf": b"%P", "scan.pdf": b.pdf([[]]), "part.ofd": b.office({"OFD.xml": "<OFD><DocRoot>no.xml</DocRoot></OFD>"}),
