@@ -70,7 +70,9 @@ def pair_markers(df: DataFrame, keys: list[str], order: str, line: str = "line")
     # a heading is no marker and a marker no page number, so one kind is enough
     d = df.select(*keys, order, line, kind.alias("__kind"))
     stop = F.struct(F.col(order).alias("at"), F.col("__kind").alias("kind"), c.alias("line"))
-    nxt = F.first(F.when(F.col("__kind") != "n", stop), ignorenulls=True).over(ahead.rowsBetween(1, W.unboundedFollowing))
+    # looked for from the end, as a running frame is linear and one that ends at the partition's end isn't
+    back_to_front = W.partitionBy(*keys).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("__kind") != "n", stop), ignorenulls=True).over(back_to_front)
     back = F.last(F.when(F.col("__kind") != "n", stop), ignorenulls=True).over(ahead.rowsBetween(W.unboundedPreceding, -1))
     d = d.withColumn("__next", nxt).withColumn("__back", back)
     pairs = (F.col("__kind") == "m") & (F.col("__next.kind") == "t")
