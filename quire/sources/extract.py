@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame
 
 from . import office, ofd, pdf
 
-SCHEMA = "path string, what string, page_no int, idx int, x_min float, x_max float, y_min float, y_max float, text string, n_images int, error struct<kind:string,stage:string,page:int,detail:string>"
+SCHEMA = "path string, what string, page_no int, idx int, x_min float, x_max float, y_min float, y_max float, text string, n_images int, image binary, error struct<kind:string,stage:string,page:int,detail:string>"
 _ARROW = pa.schema(
-    [("path", pa.string()), ("what", pa.string()), ("page_no", pa.int32()), ("idx", pa.int32()), *[(c, pa.float32()) for c in ("x_min", "x_max", "y_min", "y_max")], ("text", pa.string()), ("n_images", pa.int32()), ("error", pa.struct([("kind", pa.string()), ("stage", pa.string()), ("page", pa.int32()), ("detail", pa.string())]))]
+    [("path", pa.string()), ("what", pa.string()), ("page_no", pa.int32()), ("idx", pa.int32()), *[(c, pa.float32()) for c in ("x_min", "x_max", "y_min", "y_max")], ("text", pa.string()), ("n_images", pa.int32()), ("image", pa.binary()), ("error", pa.struct([("kind", pa.string()), ("stage", pa.string()), ("page", pa.int32()), ("detail", pa.string())]))]
 )
 
 
 def _rows(path: str, kind: str | None, data: bytes):
     row = lambda what, **v: {"path": path, "what": what, **v}
+    yield row("file", text=kind)
     try:
         if kind is None:
             yield row("error", error={"kind": "io", "stage": "detect", "page": None, "detail": "shorter than four bytes"})
@@ -22,22 +23,24 @@ def _rows(path: str, kind: str | None, data: bytes):
             for page, items, images in pdf.extract(data):
                 yield row("page", page_no=page, n_images=images)
                 for i, (x, y, w, h, t) in enumerate(items):
-                    yield row("item", page_no=page, idx=i, x_min=x, x_max=x + w, y_min=-y, y_max=-y + max(h, 1.0), text=t)
+                    yield row("item", page_no=page, idx=i, x_min=x, x_max=x + w, y_min=-y, y_max=-y + h, text=t)
         elif kind == "ofd":
-            for page, lines, images in ofd.extract(data):
+            for page, lines, images, image in ofd.extract(data):
                 yield row("page", page_no=page, n_images=images)
+                if image is not None:
+                    yield row("image", page_no=page, image=image)
                 for i, (x0, x1, y0, y1, t) in enumerate(lines):
                     yield row("line", page_no=page, idx=i, x_min=x0, x_max=x1, y_min=y0, y_max=y1, text=t)
         else:
             yield row("markdown", text=office.to_markdown(data))
     except (pdf.PdfError, ofd.OfdError, office.OfficeError) as e:
-        yield row("error", error={"kind": e.kind, "stage": "extract" if kind != "other" else "convert", "page": None, "detail": e.detail[:500]})
+        yield row("error", error={"kind": e.kind, "stage": "extract" if kind != "other" else "convert", "page": None, "detail": e.detail})
     except Exception as e:  # a bad document never fails the job
-        yield row("error", error={"kind": "malformed", "stage": "extract", "page": None, "detail": f"{type(e).__name__}: {e}"[:500]})
+        yield row("error", error={"kind": "malformed", "stage": "extract", "page": None, "detail": f"{type(e).__name__}: {e}"})
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """Rows of (path, kind, content): what is page, item (PDF), line (OFD), markdown or error."""
+    """Rows of (path, kind, content): what is file (its kind as text), page, item (PDF), line (OFD), image (of an OFD page that is nothing else), markdown or error."""
 
     def run(batches):
         for b in batches:

@@ -41,6 +41,8 @@ def magic(content: Column) -> Column:
 
 def _has_ofd(content: pd.Series) -> pd.Series:
     def one(b):
+        if b is None:
+            return False
         try:
             with zipfile.ZipFile(io.BytesIO(b)) as z:
                 return any(n.upper() == "OFD.XML" or n.endswith("/OFD.xml") for n in z.namelist())
@@ -51,27 +53,21 @@ def _has_ofd(content: pd.Series) -> pd.Series:
 
 
 def with_kind(files: DataFrame) -> DataFrame:
-    """SRC-1/2: adds kind (null: unreadable). Only zips are opened; the others stay inside the JVM."""
-    d = files.withColumn("__m", magic(F.col("content")))
+    """SRC-1/2: adds kind (null: unreadable). One pass; only the bytes of zips leave the JVM, to be opened."""
+    m = magic(F.col("content"))
     probe = F.pandas_udf(_has_ofd, "boolean")
-    zips = d.where("__m = 'zip'").withColumn("kind", F.when(probe("content"), "ofd").otherwise("other"))
-    rest = d.where("__m is null or __m <> 'zip'").withColumn("kind", F.col("__m"))
-    return zips.unionByName(rest).drop("__m")
+    ofd = probe(F.when(m == "zip", F.col("content")))
+    return files.withColumn("kind", F.when(m == "zip", F.when(ofd, "ofd").otherwise("other")).otherwise(m))
 
 
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """SRC-3: (path, ord, content, length, kind) of the supported files below a folder, by path."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    d = d.where(is_supported(F.col("path"))).select("path", "content", "length")
-    return with_ord(with_kind(d))
-
+    """SRC-3: (path, content, length, kind) of the supported files below a folder.
 
-def with_ord(d: DataFrame) -> DataFrame:
-    """Number documents by path. The window sees paths only; contents are joined back."""
-    from pyspark.sql import Window as W
-
-    o = d.select("path").withColumn("ord", (F.row_number().over(W.orderBy("path")) - 1).cast("int"))
-    return d.join(o, "path")
+    Spark's listing leaves out names that begin with a dot or an underscore,
+    and follows symbolic links.
+    """
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return with_kind(d.where(is_supported(F.col("path"))).select("path", "content", "length"))
 
 
 def from_bytes(spark: SparkSession, content: bytes, path: str = "-") -> DataFrame:

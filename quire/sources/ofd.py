@@ -62,10 +62,52 @@ class Package:
         for body, r in enumerate(_all(self.xml(root), "DocRoot")):
             doc = (r.text or "").strip()
             doc = doc.lstrip("/") if doc.startswith("/") else posixpath.join(base, doc)
-            for p in _all(self.xml(doc), "Page"):
+            tree = self.xml(doc)
+            here = posixpath.dirname(doc)
+            shared = [_at(here, x.text) for kind in ("PublicRes", "DocumentRes") for x in _all(tree, kind)]
+            for p in _all(tree, "Page"):
                 loc = p.get("BaseLoc") or ""
                 if loc:
-                    yield body, loc.lstrip("/") if loc.startswith("/") else posixpath.join(posixpath.dirname(doc), loc)
+                    yield body, _at(here, loc), here, shared
+
+    def media(self, resource: str, files: list[str]) -> bytes | None:
+        """JN-8: bytes of the medium of that id, of the first resource file that has it; null if it has none that can be read."""
+        for f in files:
+            try:
+                res = self.xml(f)
+            except OfdError:
+                continue
+            base = _at(posixpath.dirname(f), res.get("BaseLoc") or "")
+            for m in _all(res, "MultiMedia"):
+                if m.get("ID") == resource:
+                    name = next((x.text for x in m if _name(x) == "MediaFile" and x.text), "")
+                    real = self.names.get(_at(base, name).lower())
+                    try:
+                        return self.zip.read(real) if real else None
+                    except (RuntimeError, zipfile.BadZipFile):
+                        return None
+        return None
+
+
+def _at(folder: str, loc: str | None) -> str:
+    loc = (loc or "").strip()
+    return loc.lstrip("/") if loc.startswith("/") else posixpath.join(folder, loc).rstrip("/")
+
+
+def objects(layer) -> tuple[list[str], int]:
+    """SRC-16: resource ids of a layer's image objects, and the number of its other objects; blocks are opened."""
+    images, other = [], 0
+    for o in layer:
+        kind = _name(o)
+        if kind in ("PageBlock", "Layer", "Content"):
+            more, n = objects(o)
+            images += more
+            other += n
+        elif kind == "ImageObject":
+            images.append(o.get("ResourceID") or "")
+        else:
+            other += 1
+    return images, other
 
 
 def is_off_axis(ctm: list[float]) -> bool:
@@ -113,19 +155,28 @@ def text_lines(layer):
 
 
 def extract(data: bytes):
-    """(page_no from 0, lines, images); a page that can't be read is passed over and takes no number."""
+    """(page_no from 0, lines, images, picture); a page that can't be read is passed over and takes no number.
+
+    The picture is that of a page which is one image and nothing else.
+    """
     pkg = Package(data)
     n = 0
-    for _, path in list(pkg.pages()):
+    for _, path, here, shared in list(pkg.pages()):
         try:
             root = pkg.xml(path)
         except OfdError:
             continue
         content = _kids(root, "Content") or ([root] if _name(root) == "Content" else [])
-        lines, images = [], 0
+        lines, images, found, other = [], 0, [], 0
         for c in content:
             more, k = text_lines(c)
             lines += more
             images += k
-        yield n, lines, images
+            ids, rest = objects(c)
+            found += ids
+            other += rest
+        picture = None
+        if len(found) == 1 and not other:
+            picture = pkg.media(found[0], [*shared, *[_at(here, x.text) for x in _all(root, "PageRes")]])
+        yield n, lines, images, picture
         n += 1

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, else the context's; a folder of this machine only where neither is set, as in tests."""
+    """``spark.checkpoint.dir`` of the session, else the context's; a folder of this machine only where neither is set and the master runs in this process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = at.get()
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="quire-checkpoint-")
@@ -21,8 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write and read back: what several later steps use is computed once, plans stay small, and a lost executor loses nothing."""
+    """Write and read back: what several later steps use is computed once, plans stay small, and a lost executor loses nothing.
+
+    The table goes when its ``scope`` ends, and with the application at the latest.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged within are removed at its end: use or write what was returned before that."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            fs.delete(at, True)
+            fs.cancelDeleteOnExit(at)
+
+
+def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Adds ``out``, the row's place from 0 in the order of ``by``: counted within ranges of it, in parallel, of which only the sizes meet in one task."""
+    d = cut(df.repartitionByRange(by).withColumn("__p", F.spark_partition_id()))
+    sizes = d.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(sizes.select("__p", before.alias("__base")), "__p")
+    return d.withColumn(out, (F.col("__base") + F.row_number().over(W.partitionBy("__p").orderBy(by)) - 1).cast("int")).drop("__p", "__base")

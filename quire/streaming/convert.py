@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..api import Request, convert
 from ..sources import files as files_
+from ..staging import scope
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -22,7 +23,7 @@ def convert_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
     src = src.where(files_.is_supported(F.col("path"))).select("path", "content", "length")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        d = files_.with_ord(files_.with_kind(df))
-        convert(d, request).withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+        with scope(df.sparkSession):
+            convert(files_.with_kind(df), request).withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     return src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
