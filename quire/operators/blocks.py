@@ -61,21 +61,66 @@ def block_order(elements: DataFrame, keys: list[str]) -> DataFrame:
     return elements.where(~F.col("element_type").isin(*S.NOISE_TYPES)).withColumn("block_rank", F.row_number().over(w))
 
 
-def assemble(regions: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
-    """ORD-8: (keys, block_rank, pos, line): each block's regions in order and merged into paragraphs; leftovers outside noise boxes last, by their top."""
-    blocks = block_order(elements, keys)
-    noise = elements.where(F.col("element_type").isin(*S.NOISE_TYPES))
-    scale = page_scale(regions, elements, keys)
+def _outside_top(regions: DataFrame, boxes: DataFrame, keys: list[str], scale: DataFrame) -> DataFrame:
+    """The regions whose (centre x, top) is in none of the boxes."""
+    d = regions.join(scale, keys, "left")
+    return d.join(_prefixed(boxes, keys), _on(keys, G.center(F.col("x_min"), F.col("x_max")), F.col("y_min"), True), "left_anti").select(*regions.columns)
+
+
+def _in_blocks(regions: DataFrame, blocks: DataFrame, keys: list[str], scale: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, block_rank, pos, y_min, text) of the regions that a block claims, in order within it; and the regions that none claims."""
     claimed = claim(regions, blocks, keys, scale)
     own = columns.reading_order(claimed.where("block_rank is not null"), [*keys, "block_rank"], in_block=True)
-    left = outside(claimed.where("block_rank is null"), noise, keys, scale)
-    left = left.withColumn("block_rank", F.lit(2147483647)).withColumn("pos", F.row_number().over(W.partitionBy(*keys).orderBy("y_min", "region_idx")))
-    cols = [*keys, "block_rank", "pos", "y_min", "text"]
-    return lines.paragraphs(own.select(*cols).unionByName(left.select(*cols)), [*keys, "block_rank"], "pos", "y_min", "text")
+    return own.select(*keys, "block_rank", "pos", "y_min", "text"), claimed.where("block_rank is null").drop("block_rank")
+
+
+def _paragraphs(d: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block_rank, pos, line)"""
+    return lines.paragraphs(d.withColumnRenamed("text", "line"), [*keys, "block_rank"], "pos", "y_min")
+
+
+def assemble(regions: DataFrame, elements: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
+    """ORD-8: (keys, block_rank, pos, line): each block's regions in order and merged into paragraphs; leftovers whose (centre x, top) is outside noise boxes last, by their top.
+
+    ``scale`` is that of the whole page, where ``regions`` are only a part of it.
+    """
+    scale = page_scale(regions, elements, keys) if scale is None else scale
+    own, left = _in_blocks(regions, block_order(elements, keys), keys, scale)
+    left = _outside_top(left, elements.where(F.col("element_type").isin(*S.NOISE_TYPES)), keys, scale)
+    left = left.select(*keys, F.lit(2147483647).alias("block_rank"), F.row_number().over(W.partitionBy(*keys).orderBy("y_min", "region_idx")).alias("pos"), "y_min", "text")
+    return _paragraphs(own.unionByName(left), keys)
 
 
 def fallback_elements(region_blocks: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
-    """ORD-9, JN-9: elements in the order of their region blocks: block_rank from (order_index, position in the block)."""
-    b = region_blocks.where("order_index is not null").select(*keys, "order_index", "rb_idx", F.posexplode("element_indices").alias("__p", "el_idx"))
-    w = W.partitionBy(*keys).orderBy("order_index", "rb_idx", "__p")
-    return elements.drop("order_index").join(b, [*keys, "el_idx"]).withColumn("block_rank", F.row_number().over(w)).drop("__p", "rb_idx", "order_index")
+    """JN-9: elements that are no noise with ``block_rank``: by their region block's order, then by their own, else by their top."""
+    b = region_blocks.where("order_index is not null").select(*keys, F.col("order_index").alias("__block"), "rb_idx", F.posexplode("element_indices").alias("__p", "el_idx"))
+    w = W.partitionBy(*keys).orderBy("__block", "rb_idx", F.col("order_index").asc_nulls_last(), "y_min", "__p")
+    e = elements.where(~F.col("element_type").isin(*S.NOISE_TYPES)).join(b, [*keys, "el_idx"])
+    return e.withColumn("block_rank", F.row_number().over(w)).drop("__p", "rb_idx", "__block")
+
+
+def fallback_order(regions: DataFrame, elements: DataFrame, region_blocks: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
+    """ORD-9: (keys, block_rank, pos, line) for pages whose elements have no order: by region blocks, without leftovers; where that gives nothing, the regions in reading order."""
+    own, _ = _in_blocks(regions, fallback_elements(region_blocks, elements, keys), keys, page_scale(regions, elements, keys) if scale is None else scale)
+    made = _paragraphs(own, keys)
+    rest = columns.reading_order(regions.join(own.select(*keys).distinct(), keys, "left_anti"), keys)
+    return made.unionByName(rest.select(*keys, F.lit(0).alias("block_rank"), "pos", F.col("text").alias("line")))
+
+
+def order_structure(regions: DataFrame, elements: DataFrame, region_blocks: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
+    """ORD-6: (keys, pos, line) of recognised pages: vertical writing first, then what its blocks hold.
+
+    Pages of which a block that is no noise has an order go by it (ORD-7/8),
+    the others by ORD-9. What vertical writing took counts there no more.
+    """
+    scale = page_scale(regions, elements, keys) if scale is None else scale
+    tall = columns.vertical_columns(regions, keys)
+    up = columns.column_texts(tall, keys).select(*keys, F.lit(0).alias("__s"), F.lit(0).alias("block_rank"), F.col("col_no").alias("pos"), F.col("text").alias("line"))
+    flat = regions.join(tall.select(*keys, "region_idx"), [*keys, "region_idx"], "left_anti")
+    ordered = elements.where(~F.col("element_type").isin(*S.NOISE_TYPES) & F.col("order_index").isNotNull()).select(*keys).distinct()
+    by = lambda d, how: d.join(ordered, keys, how)
+    a = assemble(by(flat, "left_semi"), by(elements, "left_semi"), keys, scale)
+    b = fallback_order(by(flat, "left_anti"), by(elements, "left_anti"), by(region_blocks, "left_anti"), keys, scale)
+    both = a.unionByName(b).select(*keys, F.lit(1).alias("__s"), "block_rank", "pos", "line")
+    pos = F.row_number().over(W.partitionBy(*keys).orderBy("__s", "block_rank", "pos"))
+    return up.unionByName(both).select(*keys, pos.alias("pos"), "line")

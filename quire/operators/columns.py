@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geometry as G
+from ..functions import text as X
 
 
 def with_page_width(regions: DataFrame, keys: list[str]) -> DataFrame:
@@ -94,9 +95,15 @@ def vertical_columns(regions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vertical_paragraphs(regions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, col_no, text): a vertical column's lines, one under the other."""
-    c = vertical_columns(regions, keys).groupBy(*keys, "col_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("r"))
-    return c.select(*keys, "col_no", F.array_join(F.transform("r", lambda x: F.trim(x["text"])), "\n").alias("text"))
+    """(keys, col_no, text): a vertical column's lines, one under the other, from the first that isn't blank; blank columns are left out."""
+    return column_texts(vertical_columns(regions, keys), keys)
+
+
+def column_texts(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from the regions already placed in columns."""
+    c = placed.groupBy(*keys, "col_no").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("r"))
+    t = F.array_join(F.transform("r", lambda x: X.strip(F.coalesce(x["text"], F.lit("")))), "\n")
+    return c.select(*keys, "col_no", F.regexp_replace(t, "^\n+", "").alias("text")).where("text <> ''")
 
 
 def gutter(items: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:

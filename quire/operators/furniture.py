@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from ..functions.geometry import f32
 
 
 def needed_pages(pages, ratio: float = S.FURNITURE_RATIO):
-    return F.greatest(F.lit(S.FURNITURE_MIN), F.ceil(pages * F.lit(ratio)))
+    """Pages that a text must stand on; the product is rounded up in single precision (16 of 25 pages at 60%, not 15)."""
+    return F.greatest(F.lit(S.FURNITURE_MIN), F.ceil(pages.cast("float") * f32(ratio)))
 
 
 def furniture_keys(items: DataFrame, doc: str, page: str, text: str, place: list[str] | None = None, ratio: float = S.FURNITURE_RATIO) -> DataFrame:
@@ -29,11 +32,16 @@ def furniture_keys(items: DataFrame, doc: str, page: str, text: str, place: list
 
 
 def binned(items: DataFrame, doc: str, page: str) -> DataFrame:
-    """Adds x_bin and y_bin: hundredths of the page, truncated."""
-    m = items.groupBy(doc, page).agg(F.greatest(F.max(F.col("x") + F.col("width")), F.lit(1.0)).alias("__mx"), F.greatest(F.max(F.col("y") + F.col("height")), F.lit(1.0)).alias("__my"))
-    d = items.join(m, [doc, page])
-    d = d.withColumn("x_bin", ((F.col("x") + F.col("width") / 2) * 100 / F.col("__mx")).cast("int"))
-    return d.withColumn("y_bin", ((F.col("y") + F.col("height") / 2) * 100 / F.col("__my")).cast("int")).drop("__mx", "__my")
+    """Adds x_bin and y_bin: hundredths of the page, truncated, in single precision.
+
+    y counts from the page's foot here, as in a PDF: the page's height is taken
+    from its topmost item.
+    """
+    x, y, w, h = (F.col(c).cast("float") for c in ("x", "y", "width", "height"))
+    on = W.partitionBy(doc, page)
+    d = items.withColumn("__mx", F.greatest(F.max(x + w).over(on), f32(1.0))).withColumn("__my", F.greatest(F.max(y + h).over(on), f32(1.0)))
+    share = lambda a, size, of: (((a + size * f32(0.5)) / F.col(of)).cast("float") * f32(100.0)).cast("int")
+    return d.withColumn("x_bin", share(x, w, "__mx")).withColumn("y_bin", share(y, h, "__my")).drop("__mx", "__my")
 
 
 def strip_furniture(items: DataFrame, doc: str, page: str, text: str, place: list[str] | None = None, ratio: float = S.FURNITURE_RATIO) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions import geometry as G
 from ..functions import text as X
 from ..staging import cut
 
@@ -60,9 +61,11 @@ def cells(rows: DataFrame, keys: list[str], gap: Column) -> DataFrame:
     return g.select(*keys, "row_no", "cell_no", first["x_min"].alias("x"), first["y_min"].alias("y"), F.array_max(F.transform("i", lambda v: v["h"])).alias("h"), text.alias("text"))
 
 
-def row_tolerance(regions: DataFrame, keys: list[str]) -> DataFrame:
-    """GRD-4: (keys, page_w, row_tol): half the usual distance of rows, within 4 and 30% of the page."""
+def row_tolerance(regions: DataFrame, keys: list[str], widths: DataFrame | None = None) -> DataFrame:
+    """GRD-4: (keys, page_w, row_tol): half the usual distance of rows, within 4 and 30% of the page. The page's width is that of its regions, or given as (keys, page_w)."""
     p = regions.groupBy(*keys).agg(F.greatest(F.max("x_max"), F.lit(0)).alias("page_w"), F.coalesce(upper_median(F.collect_list(F.col("y_max") - F.col("y_min"))), F.lit(S.HEIGHT_DEFAULT)).alias("__rh"))
+    if widths is not None:
+        p = p.drop("page_w").join(widths, keys)
     coarse = row_groups(regions.join(p, keys), keys, F.greatest(F.col("__rh") * 0.8, F.lit(2.0)))
     c = cells(coarse, keys, F.col("page_w") * S.GRID_GAP).groupBy(*keys, "row_no").agg(F.avg("y").alias("__c"))
     d = c.withColumn("__d", F.abs(F.col("__c") - F.lag("__c").over(W.partitionBy(*keys).orderBy("row_no"))))
@@ -92,8 +95,10 @@ def assign_cells(cell: DataFrame, centers: DataFrame, keys: list[str]) -> DataFr
     An empty place goes to whatever comes, so a cell without text gives way to a later one.
     """
     n = F.count("*").over(W.partitionBy(*keys, "row_no"))
-    d = cell.withColumn("__k", n).where("__k >= 2").join(centers, keys)
-    near = d.groupBy(*keys, "row_no", "cell_no", "x", "y", "h", "text").agg(F.min_by("col", F.struct(F.abs(F.col("x") - F.col("center")), "col")).alias("col"))
+    at = centers.groupBy(*keys).agg(F.collect_list(F.struct("col", "center")).alias("__c"))
+    d = cell.withColumn("__k", n).where("__k >= 2").join(at, keys)
+    nearest = F.array_min(F.transform("__c", lambda c: F.struct(F.abs(F.col("x") - c["center"]).alias("d"), c["col"].alias("col"))))
+    near = d.withColumn("col", nearest["col"])
     pick = F.struct((F.col("text") == "").alias("e"), "x", "cell_no", "y", "h", "text")
     return near.groupBy(*keys, "row_no", "col").agg(F.min(pick).alias("__p")).select(*keys, "row_no", "col", "__p.x", "__p.y", "__p.h", "__p.text")
 
@@ -116,10 +121,10 @@ def alignment(placed: DataFrame, keys: list[str], page_w: Column, tolerant: bool
     return c.groupBy(*keys).agg(F.bool_and((F.size("v") < 2) | ok).alias("aligned"))
 
 
-def reconstruct(regions: DataFrame, keys: list[str], tolerant: bool = False) -> DataFrame:
+def reconstruct(regions: DataFrame, keys: list[str], tolerant: bool = False, widths: DataFrame | None = None) -> DataFrame:
     """GRD-5: one row for each page that is a table: (keys, cols, has_header, header, rows) of text, x, y, h."""
     big = regions.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).where("__n >= 4").drop("__n")
-    tol = cut(row_tolerance(big, keys))
+    tol = cut(row_tolerance(big, keys, widths))
     rows = row_groups(big.join(tol, keys), keys, F.col("row_tol"))
     cell = cut(cells(rows, keys, F.col("page_w") * S.GRID_GAP))
     cols = column_count(cell, keys)
@@ -153,28 +158,54 @@ def false_positive(tables: DataFrame, cell: DataFrame, keys: list[str]) -> DataF
     return j.select(*keys, ((zero("__r") < 2) | (zero("__c") < 2) | prose).alias("false_positive"))
 
 
-def image_tables(regions: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
+def image_guard(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """FLT-19, AGG-14: (keys, tried): pages with an image that may be a table: none whose figures have titles and tables none."""
+    has = lambda t: F.bool_or(F.col("element_type") == t)
+    return elements.groupBy(*keys).agg((has("image") & ~(has("figure_title") & ~has("table_title"))).alias("tried"))
+
+
+def image_tables(regions: DataFrame, elements: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
     """GRD-8: tables that the layout took for images: (keys, cols, has_header, header, rows)."""
     from . import blocks
 
-    f = elements.groupBy(*keys).agg(F.bool_or(F.col("element_type") == "figure_title").alias("fig"), F.bool_or(F.col("element_type") == "table_title").alias("tab"))
-    images = elements.where("element_type = 'image'").join(f.where("fig and not tab").select(*keys), keys, "left_anti")
+    images = elements.where("element_type = 'image'").join(image_guard(elements, keys).where("tried").select(*keys), keys, "left_semi")
     image = images.withColumn("block_rank", F.lit(1))
     shifted = regions.where(X.strip(F.col("text")) != "").withColumn("__y", F.col("y_min")).withColumn("y_min", (F.col("y_min") + F.col("y_max")) / 2)
-    inside = blocks.claim(shifted, image, keys, blocks.page_scale(regions, elements, keys)).where("block_rank = 1")
+    scale = blocks.page_scale(regions, elements, keys) if scale is None else scale
+    inside = blocks.claim(shifted, image, keys, scale).where("block_rank = 1")
     inside = inside.withColumn("y_min", F.col("__y")).drop("__y", "block_rank")
-    g = reconstruct(inside, keys, tolerant=True)
+    inside = inside.withColumn("x_max", F.greatest("x_max", F.col("x_min") + 1)).withColumn("y_max", F.greatest("y_max", F.col("y_min") + 1))
+    g = reconstruct(inside, keys, True, scale.select(*keys, F.greatest("tw", F.lit(0)).alias("page_w")))
     every = F.transform(F.flatten(F.concat(F.array("header"), F.col("rows"))), lambda v: v["text"])
     g = g.withColumn("__t", every).withColumn("__s", F.filter("__t", lambda t: t != ""))
     prose = (F.col("cols") == 2) & (F.size(F.filter("__s", X.is_prose)) * 10 > F.size("__s") * S.PROSE_TENTHS)
     return g.where((F.size("__s") * 100 >= F.size("__t") * S.IMAGE_FILL) & ~prose).drop("__t", "__s")
 
 
-def from_structure(cell: DataFrame, keys: list[str]) -> DataFrame:
-    """GRD-12: (keys, row, texts): a grid by the row and column numbers of a structure model."""
-    cols = cell.groupBy(*keys).agg((F.max("col") + 1).alias("cols"), (F.max("row") + 1).alias("n_rows")).where("cols >= 2 and n_rows >= 2")
-    r = cell.where("row is not null and col is not null").join(cols, keys).groupBy(*keys, "row", "cols").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("text", F.lit(""))))).alias("m"))
-    return r.select(*keys, "row", F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(""))).alias("texts"))
+def from_structure(cell: DataFrame, keys: list[str], regions: DataFrame | None = None) -> DataFrame:
+    """GRD-12: (keys, cols, has_header, header, rows): a grid by the row and column numbers of a structure model.
+
+    ``cell`` has (keys, row, col, text) and, to be filled, a box. JN-12: a cell
+    without text takes that of the first region (keys, region_idx, box, text)
+    whose (centre x, top) lies about it.
+    """
+    box = {"x_min", "x_max", "y_min", "y_max"} <= set(cell.columns)
+    n = lambda c: F.coalesce(F.col(c) if box else F.lit(0.0), F.lit(0.0))
+    c = cell.where("row is not null and col is not null").select(*keys, "row", "col", F.coalesce("text", F.lit("")).alias("text"), G.center(n("x_min"), n("x_max")).alias("x"), n("y_min").alias("y"), F.greatest(n("y_max") - n("y_min"), F.lit(1.0)).alias("h"))
+    size = c.groupBy(*keys).agg((F.max("col") + 1).cast("int").alias("cols"), (F.max("row") + 1).cast("int").alias("n_rows")).where("cols >= 2 and n_rows >= 2")
+    if regions is not None:
+        r = regions.where(F.col("text") != "").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("region_idx").alias("__i"), G.center(F.col("x_min"), F.col("x_max")).alias("__x"), F.col("y_min").alias("__y"), F.col("text").alias("__t"))
+        on = (F.abs(F.col("__x") - F.col("x")) <= F.greatest(F.col("h") * 0.5, F.lit(1.0)) * 2) & (F.abs(F.col("__y") - F.col("y")) <= F.col("h") + 4.0)
+        for k in keys:
+            on = on & (F.col(k) == F.col(f"__{k}"))
+        fill = c.where("text = ''").join(r, on).groupBy(*keys, "row", "col").agg(F.min_by("__t", "__i").alias("__fill"))
+        c = c.join(fill, [*keys, "row", "col"], "left").withColumn("text", F.when(F.col("text") == "", F.coalesce("__fill", F.lit(""))).otherwise(F.col("text"))).drop("__fill")
+    g = c.join(size, keys).groupBy(*keys, "cols", "n_rows").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")), F.struct("text", *[F.col(v).cast("float").alias(v) for v in ("x", "y", "h")])))).alias("m"))
+    empty = F.struct(F.lit("").alias("text"), *[F.lit(0.0).cast("float").alias(v) for v in ("x", "y", "h")])
+    upto = lambda v: F.sequence(F.lit(0), F.col(v) - 1)
+    g = g.select(*keys, "cols", F.transform(upto("n_rows"), lambda i: F.transform(upto("cols"), lambda j: F.coalesce(F.try_element_at(F.col("m"), F.struct(i.alias("row"), j.alias("col"))), empty))).alias("all"))
+    g = g.select(*keys, "cols", F.element_at("all", 1).alias("header"), F.slice("all", 2, F.size("all")).alias("rows"))
+    return g.withColumn("has_header", is_header(F.transform("header", lambda v: v["text"]), F.transform(F.flatten("rows"), lambda v: v["text"]))).select(*keys, "cols", "has_header", "header", "rows")
 
 
 def _html(header, rows, cols) -> str:

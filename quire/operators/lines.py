@@ -49,10 +49,11 @@ def paragraphs(df: DataFrame, keys: list[str], order: str, y: str, line: str = "
     whole = W.partitionBy(*keys)
     heading = X.title_level(F.col(line)).isNotNull() | X.is_marked(F.col(line))
     d = df.select(*keys, order, line, F.abs(F.col(y) - F.lag(y).over(w)).alias("__gap"), heading.alias("__head"))
-    gaps = F.array_sort(F.collect_list("__gap").over(whole))
-    d = d.withColumn("__gaps", gaps)
-    median = F.coalesce(F.get("__gaps", F.floor(F.size("__gaps") / 2).cast("int")), F.lit(S.PARAGRAPH_DEFAULT))
-    limit = F.greatest(median, F.lit(S.PARAGRAPH_FLOOR)) * S.PARAGRAPH_FACTOR
+    # gaps by size, none last: the middle one is the median, and no row carries the others
+    by_gap = W.partitionBy(*keys).orderBy(F.col("__gap").asc_nulls_last(), order)
+    middle = F.row_number().over(by_gap) == F.floor(F.count("__gap").over(whole) / 2) + 1
+    d = d.withColumn("__median", F.when(middle, F.col("__gap"))).withColumn("__median", F.max("__median").over(whole))
+    limit = F.greatest(F.coalesce("__median", F.lit(S.PARAGRAPH_DEFAULT)), F.lit(S.PARAGRAPH_FLOOR)) * S.PARAGRAPH_FACTOR
     cut = F.col("__gap").isNull() | F.col("__head") | F.lag("__head").over(w) | (F.col("__gap") > limit)
     d = d.withColumn("__run", F.sum(F.when(cut, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return _joined(d, keys, [order], line, "", (order, line))

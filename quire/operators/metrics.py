@@ -28,6 +28,16 @@ def page_timings(df: DataFrame, page: str, stage: str, ms: str, stages: list[str
     return d.withColumn("total", total)
 
 
+def timing_report(df: DataFrame, page: str, stage: str, ms: str, stages: list[str]) -> DataFrame:
+    """SNK-4: (part, key, line) of a report: a line for each page with its stages and total, then each stage's percentiles."""
+    shown = lambda c: F.format_string("%.1f", F.col(c).cast("double"))
+    p = page_timings(df, page, stage, ms, stages)
+    each = F.concat_ws(" ", F.concat(F.lit("page "), F.col(page).cast("string")), *[F.concat(F.lit(f"{s}="), shown(s)) for s in [*stages, "total"]])
+    q = percentiles(df, [stage], ms)
+    total = F.concat_ws(" ", F.col(stage), F.concat(F.lit("n="), F.col("n").cast("string")), *[F.concat(F.lit(f"{s}="), shown(s)) for s in ("p50", "p95", "max")])
+    return p.select(F.lit(0).alias("part"), F.col(page).cast("string").alias("key"), each.alias("line")).unionByName(q.select(F.lit(1).alias("part"), F.col(stage).alias("key"), total.alias("line")))
+
+
 def charset_recall(truth: Column, found: Column) -> Column:
     """MET-1"""
     chars = lambda c: F.array_distinct(F.filter(F.split(X.normalized(c), ""), lambda x: x != ""))

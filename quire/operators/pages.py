@@ -43,22 +43,35 @@ def precedence(grid: Column, confirmed: Column, body: Column) -> Column:
     return F.coalesce(grid, confirmed, body)
 
 
+def page_content(keys: list[str], *levels: DataFrame) -> DataFrame:
+    """RTE-16/17 for whole tables: of rows (keys, source, kind, pos, text) those of the first level that has the page."""
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more.join(out.select(*keys).distinct(), keys, "left_anti"))
+    return out
+
+
 def render_pages(regions: DataFrame, keys: list[str]) -> DataFrame:
     """RND-1..4: (keys, segment) from rows (keys, source, kind, pos, text); grids come as HTML text.
 
     The separators depend on neighbours only: a heading has an empty line
-    before and after it, and at a page's start none.
+    before it, unless the page begins there or already ends in one, and one
+    after it.
     """
     rank = F.when(F.col("kind") == "body", 0).when(F.col("kind") == "pre_rendered", 1).when(F.col("kind") == "table_html", 2).otherwise(3)
     d = regions.where((F.col("kind") != "table_html") | (F.col("source") == "ocr")).withColumn("__k", rank)
     w = W.partitionBy(*keys).orderBy("__k", "pos")
     plain = F.col("source") == "ofd"
     head = F.coalesce((F.col("__k") == 0) & F.col("text").startswith("#") & ~plain, F.lit(False))
-    d = d.withColumn("__head", head).withColumn("__first", F.row_number().over(w) == 1).withColumn("__prev", F.lag("__k").over(w)).withColumn("__prev_head", F.lag("__head").over(w)).withColumn("__prev_text", F.lag("text").over(w))
+    d = d.withColumn("__head", head).withColumn("__rn", F.row_number().over(w)).withColumn("__prev", F.lag(F.struct("__k", "__head", "text", (F.col("__rn") > 1).alias("more"))).over(w))
     t = F.col("text")
-    prev_open = F.when(F.col("__prev") == 0, ~F.col("__prev_head")).when(F.col("__prev").isNull(), F.lit(True)).otherwise(~F.col("__prev_text").endswith("\n\n"))
-    body = F.when(plain, F.concat(F.when(F.col("__first"), F.lit("")).otherwise(F.lit("\n")), t)).otherwise(F.concat(F.when(F.col("__head") & ~F.col("__first") & ~F.coalesce(F.col("__prev_head"), F.lit(False)), F.lit("\n")).otherwise(F.lit("")), t, F.when(F.col("__head"), F.lit("\n\n")).otherwise(F.lit("\n"))))
-    html = F.concat(F.when(prev_open, F.lit("\n\n")).otherwise(F.lit("")), t)
+    # whether the segment so far ends in an empty line: a body line ends in one line end, so an empty line after another makes two
+    p = F.col("__prev")
+    body_open = ~(p["__head"] | p["text"].endswith("\n") | ((p["text"] == "") & p["more"]))
+    ends = F.when(p.isNull(), F.lit(True)).when(p["__k"] == 0, F.when(plain, ~p["text"].endswith("\n\n")).otherwise(body_open)).otherwise(~p["text"].endswith("\n\n"))
+    first = F.col("__rn") == 1
+    body = F.when(plain, F.concat(F.when(first, F.lit("")).otherwise(F.lit("\n")), t)).otherwise(F.concat(F.when(F.col("__head") & ~first & ends, F.lit("\n")).otherwise(F.lit("")), t, F.when(F.col("__head"), F.lit("\n\n")).otherwise(F.lit("\n"))))
+    html = F.concat(F.when(ends, F.lit("\n\n")).otherwise(F.lit("")), t)
     grid = F.when(F.col("source") == "ocr", F.concat(F.lit("\n\n"), t, F.lit("\n"))).otherwise(F.concat(t, F.lit("\n\n")))
     piece = F.when(F.col("__k") == 0, body).when(F.col("__k") == 1, t).when(F.col("__k") == 2, html).otherwise(grid)
     d = d.withColumn("__s", piece)

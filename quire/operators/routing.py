@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from ..staging import numbered
 
 
 def text_health(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -73,12 +74,30 @@ def single_image_pages(objects: DataFrame, keys: list[str], kind: str = "obj_typ
 
 
 def fill_slots(documents: DataFrame, results: DataFrame, key: str = "path") -> DataFrame:
-    """JN-7: an outcome for every document; one without result is a runtime error."""
-    j = documents.select(key, "ord").join(results.select(key, "markdown", "error"), key, "left")
+    """JN-7: an outcome for every document, numbered by path where it has no number yet; one without result is a runtime error."""
+    d = documents.select(key, "ord") if "ord" in documents.columns else numbered(documents.select(key), key, "ord")
+    j = d.join(results.select(key, "markdown", "error"), key, "left")
     lost = F.struct(F.lit("runtime").alias("kind"), F.lit("convert").alias("stage"), F.lit(None).cast("int").alias("page"), F.lit("no result").alias("detail"))
     return j.select(key, "ord", "markdown", F.when(F.col("markdown").isNull() & F.col("error").isNull(), lost).otherwise(F.col("error")).alias("error"))
 
 
+def render_subset(pages: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """SRC-14: the pages worth drawing, of those there are. The semi join comes before the expensive step, which so never sees another page."""
+    return pages.join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
+def suspicious_pages(items: DataFrame, available: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:
+    """SET-2: (keys) of the pages that look like tables (FLT-11) and are there."""
+    from . import columns
+
+    return columns.tabular_pages(items, keys, line).where("tabular").select(*keys).join(available.select(*keys).distinct(), keys, "left_semi")
+
+
+def confirmed_tables(elements: DataFrame, keys: list[str]) -> DataFrame:
+    """RTE-14, AGG-14: (keys) of the recognised pages on which the layout has a table."""
+    return elements.groupBy(*keys).agg(F.bool_or(F.col("element_type") == "table").alias("__t")).where("__t").select(*keys)
+
+
 def document_errors(errors: DataFrame) -> DataFrame:
     """RTE-13: of (doc_id, page, error) only those of whole documents, which have no page."""
     return errors.where("page is null").select("doc_id", "error")

@@ -24,6 +24,8 @@ CONFIDENCE = 0.6
 DPI, DPI_SIDE = 100, 12
 
 NOISE_TYPES = ("header", "header_image", "footer", "footer_image", "number", "seal")
+TITLE_TYPES = ("doc_title", "paragraph_title")
+MARGIN_TYPES = ("header", "header_image", "footer", "footer_image")
 TIERS = ("tiny", "small", "medium")
 KINDS = ("pdf", "ofd", "other")
 SUPPORTED = ("pdf", "ofd", "docx", "doc", "xlsx", "xls", "pptx", "ppt")
