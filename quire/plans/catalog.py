@@ -18,6 +18,7 @@ from ..operators import metrics as M
 from ..operators import pages as P
 from ..operators import routing as R
 from ..sources import files
+from ..staging import cut
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -267,7 +268,7 @@ def error_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- furniture ------------------------------------------------------------------------------------------------------
 
 _FURN = f"""{A.LINES}, i as (select d.source, d.doc_id, l.line_no, l.line, {_strip('l.line')} as t from l join documents d on d.doc_id = l.doc_id), n as (select source, max(doc_id) as top, count(distinct doc_id) as pages from i group by source),
-    k as (select i.source, t, count(distinct doc_id) as c, any_value(pages) as pages from i join n on n.source = i.source where t <> '' group by i.source, t), f as (select source, t from k where c >= greatest(3, ceil(pages * 0.1)) and pages >= greatest(3, ceil(pages * 0.1)))"""
+    k as (select i.source, t, count(distinct doc_id) as c, any_value(pages) as pages from i join n on n.source = i.source where t <> '' group by i.source, t), f as (select source, t from k where c >= greatest(3, ceil(cast(pages as float) * cast(0.1 as float))) and pages >= greatest(3, ceil(cast(pages as float) * cast(0.1 as float))))"""
 
 
 def _furniture_items(spark, sf_dir):
@@ -417,7 +418,7 @@ def _row_groups(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    return D.cells(_row_groups(spark, sf_dir), _KEY, F.lit(6.0))
+    return cut(D.cells(_row_groups(spark, sf_dir), _KEY, F.lit(6.0)))
 
 
 @query(f"with {_ROWS} select doc_id, region_idx, row_no from rows_")
@@ -514,12 +515,14 @@ def table_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "pages").select("page_id", X.table_html(F.expr(_WRAP)).alias("html"))
 
 
-_MD = f"""{A.LINES}, n as (select doc_id, line_no, {A.NUMBERED} as raw from l), v as (select doc_id, line_no, {_prefixed('raw')} as t from n), w as (select *, t like '#%' as head, lag(t like '#%') over (partition by doc_id order by line_no) as ph, line_no = 0 as first from v),
-    seg as (select doc_id, string_agg(case when head and not first and not coalesce(ph, false) then chr(10) else '' end || t || case when head then chr(10) || chr(10) else chr(10) end, '' order by line_no) as segment from w group by doc_id)"""
+#: some lines empty, also several together and at the start; in SQL the segment grows line by line and is looked at each time
+_GAPPED = f"case when line_no % 7 in (3, 4) or (line_no = 0 and doc_id % 5 = 0) then '' else {A.NUMBERED} end"
+_MD = f"""{A.LINES}, n as (select doc_id, line_no, {_GAPPED} as raw from l), v as (select doc_id, list({_prefixed('raw')} order by line_no) as t from n group by doc_id),
+    seg as (select doc_id, list_reduce(t, lambda s, x : s || case when x like '#%' and s <> '' and right(s, 2) <> chr(10) || chr(10) then chr(10) else '' end || x || case when x like '#%' then chr(10) || chr(10) else chr(10) end, '') as segment from v)"""
 
 
 def _segments(spark, sf_dir):
-    d = A.document_lines(spark, sf_dir, A.NUMBERED)
+    d = A.document_lines(spark, sf_dir, _GAPPED)
     d = d.select("doc_id", F.lit("pdf").alias("source"), F.lit("body").alias("kind"), F.col("line_no").alias("pos"), X.title_prefixed(F.col("line")).alias("text"))
     return P.render_pages(d, _KEY)
 
@@ -580,7 +583,10 @@ def _gram_recall(n):
 
 @query(f"with {A.LINES}, {_PAIRS} select doc_id, line_no, {_gram_recall(1)} as r1, {_gram_recall(2)} as r2, {_gram_recall(3)} as r3 from q where b is not null")
 def ngram_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("doc_id", "line_no", *[M.ngram_recall(F.col("a"), F.col("b"), n).alias(f"r{n}") for n in (1, 2, 3)])
+    d = A.document_lines(spark, sf_dir)
+    grams = F.struct(*[X.ngrams(F.col("line"), n).alias(f"g{n}") for n in (1, 2, 3)])
+    d = d.select("doc_id", "line_no", grams.alias("a")).withColumn("b", F.lead("a").over(W.partitionBy("doc_id").orderBy("line_no"))).where("b is not null")
+    return d.select("doc_id", "line_no", *[X.set_recall(F.col(f"a.g{n}"), F.col(f"b.g{n}")).alias(f"r{n}") for n in (1, 2, 3)])
 
 
 @query(f"with {A.LINES}, {_PAIRS}, s as (select doc_id, line_no, list_distinct(regexp_extract_all(a, '[a-z]{{4,}}')) as x, list_distinct(regexp_extract_all(b, '[a-z]{{4,}}')) as y from q where b is not null), t as (select doc_id, line_no, len(list_intersect(x, y)) / greatest(len(x), 1) as recall, len(list_intersect(x, y)) / greatest(len(y), 1) as precision from s) select *, case when recall + precision > 0 then 2 * recall * precision / (recall + precision) else 0 end as f1 from t")
@@ -659,3 +665,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.select("doc_id", F.lit("pdf").alias("source"), F.lit("body").alias("kind"), F.col("line_no").alias("pos"), X.title_prefixed(X.half_width(F.col("line"))).alias("text"))
     s = P.render_pages(d, _KEY).select("doc_id", F.lit(0).alias("page"), F.lit(0).alias("pos"), "segment")
     return P.render_documents(s, "doc_id", "page", "pos")
+
+
+from . import recognised as _recognised  # noqa: E402,F401 - its queries register themselves
