@@ -7,12 +7,15 @@ import zipfile
 import zlib
 
 
-def ofd(pages: list[str]) -> bytes:
-    """A package whose pages have these objects (XML)."""
+def ofd(pages: list[str], media: dict[str, bytes] | None = None) -> bytes:
+    """A package whose pages have these objects (XML), with media by id."""
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
         z.writestr("OFD.xml", "<OFD><DocBody><DocRoot>D/Doc.xml</DocRoot></DocBody></OFD>")
-        z.writestr("D/Doc.xml", "<Document><Pages>" + "".join(f'<Page ID="{i}" BaseLoc="Pages/P{i}/Content.xml"/>' for i in range(len(pages))) + "</Pages></Document>")
+        for k, v in (media or {}).items():
+            z.writestr(f"D/Res/m{k}.png", v)
+        z.writestr("D/Public.xml", '<Res BaseLoc="Res">' + "".join(f'<MultiMedias><MultiMedia ID="{k}"><MediaFile>m{k}.png</MediaFile></MultiMedia></MultiMedias>' for k in media or {}) + "</Res>")
+        z.writestr("D/Doc.xml", "<Document><CommonData><PublicRes>Public.xml</PublicRes></CommonData><Pages>" + "".join(f'<Page ID="{i}" BaseLoc="Pages/P{i}/Content.xml"/>' for i in range(len(pages))) + "</Pages></Document>")
         for i, p in enumerate(pages):
             z.writestr(f"D/Pages/P{i}/Content.xml", f"<Page><Content><Layer>{p}</Layer></Content></Page>")
     return b.getvalue()

@@ -30,13 +30,18 @@ def test_image_tables(spark):
 
 def test_structure_grid(spark):
     c = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 1, None), (2, 0, 0, "x")], "p int, row int, col int, text string")
-    assert [(r["row"], r["texts"]) for r in D.from_structure(c, ["p"]).orderBy("row").collect()] == [(0, ["a", "b"]), (1, ["", ""])]
+    g = D.from_structure(c, ["p"]).collect()
+    assert [([x["text"] for x in r["header"]], [[x["text"] for x in v] for v in r["rows"]]) for r in g] == [(["a", "b"], [["", ""]])]
+    box = [(1, r, k, x0, x1, 10.0 * r, 10.0 * r + 5, t) for r, k, x0, x1, t in ((1, 0, 5.0, 15.0, "No"), (1, 1, 20.0, 40.0, "Name"), (2, 0, 5.0, 15.0, None), (2, 1, 20.0, 40.0, ""))]
+    c = spark.createDataFrame(box, "p int, row int, col int, x_min double, x_max double, y_min double, y_max double, text string").withColumn("row", F.col("row") - 1)
+    g = D.from_structure(c, ["p"], regions(spark, [(5, 15, 20, 25, "7"), (20, 40, 20, 25, "x"), (20, 40, 20, 25, "later"), (300, 310, 20, 25, "far")])).first()
+    assert [x["text"] for x in g["rows"][0]] == ["7", "x"] and g["cols"] == 2
 
 
 def test_fallback_elements(spark):
     e = box(spark, [("text", 0, 9, 0, 9), ("text", 0, 9, 10, 19), ("text", 0, 9, 20, 29)]).withColumn("order_index", F.lit(None).cast("int"))
     b = spark.createDataFrame([(1, 0, 2, [0]), (1, 1, 1, [2, 1]), (1, 2, None, [0])], "p int, rb_idx int, order_index int, element_indices array<int>")
-    assert [r["el_idx"] for r in B.fallback_elements(b, e, ["p"]).orderBy("block_rank").collect()] == [2, 1, 0]
+    assert [r["el_idx"] for r in B.fallback_elements(b, e, ["p"]).orderBy("block_rank").collect()] == [1, 2, 0]
 
 
 def test_precedence_and_errors(spark):
