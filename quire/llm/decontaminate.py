@@ -12,7 +12,7 @@ extended to the longest verbatim match.
 No step shuffles: only the text column goes to Python, and a list of matches
 comes back. The test items are sent to the executors in pieces of at most
 ``piece_words`` words; a larger set of tests takes one pass for each piece,
-each over what the former ones kept.
+each over what the former ones kept, and only one piece at a time is held.
 """
 
 from __future__ import annotations
@@ -25,18 +25,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import arrow, only
+from .shared import Frame, arrow, cut, drop, only
 
-MATCH = "array<struct<item_id:bigint,n_words:int,doc_word:int,item_word:int>>"
+MATCH = "array<struct<item_id:{},n_words:int,doc_word:int,item_word:int>>"
 
 
 class Tests:
     """Word hashes of test items, end to end, each item ended by a zero."""
 
-    def __init__(self, ids: list[int], texts: list[str], min_words: int, least: int):
+    def __init__(self, ids: pa.Array, texts: list[str], min_words: int, least: int):
         hs = [np.concatenate([h, np.zeros(0, np.uint64)]) for h in _items(texts)]
-        use = [k for k, h in enumerate(hs) if len(h) >= least]
-        self.ids = np.array([ids[k] for k in use], np.int64)
+        use = [k for k, h in enumerate(hs) if len(h) >= max(1, least)]
+        self.ids = ids.take(pa.array(use, pa.int64()))
         hs = [hs[k] for k in use]
         size = np.array([len(h) for h in hs], np.int64)
         self.depth = int(size.max()) if len(size) else 0
@@ -160,59 +160,86 @@ def _matcher(tests: Tests, shard_bytes: int):
                 o = np.lexsort((tests.word[s], p, -n, item, d))
                 o = o[np.r_[True, (d[o][1:] != d[o][:-1]) | (item[o][1:] != item[o][:-1])]]
                 rows.append(i + d[o])
-                out.append((tests.ids[item[o]], n[o], p[o] - begin[d[o]], tests.word[s[o]]))
+                out.append((item[o], n[o], p[o] - begin[d[o]], tests.word[s[o]]))
         at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
         offsets = np.searchsorted(at, np.arange(len(text) + 1)).astype(np.int32)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-        s = pa.StructArray.from_arrays([pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)], names=["item_id", "n_words", "doc_word", "item_word"])
+        s = pa.StructArray.from_arrays([tests.ids.take(pa.array(cols[0], pa.int64())), *[pa.array(c.astype(np.int32)) for c in cols[1:]]], names=["item_id", "n_words", "doc_word", "item_word"])
         return pa.ListArray.from_arrays(pa.array(offsets), s)
 
     return run
 
 
-def _pieces(tests: DataFrame, id_col: str, text_col: str, piece_words: int) -> Iterator[tuple[list[int], list[str]]]:
+def _pieces(tests: DataFrame, id_col: str, text_col: str, piece_words: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    t = only(tests, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
+    kind = to_arrow_type(t.schema["id"].dataType)
     ids, texts, size = [], [], 0
-    for r in only(tests, id_col, text_col).toDF("id", "text").where("id is not null and text is not null").orderBy("id", "text").toLocalIterator():
+    for r in t.orderBy("id", "text").toLocalIterator():
         k = len(r["text"]) // 2 + 1
         if ids and size + k > piece_words:
-            yield ids, texts
+            yield pa.array(ids, kind), texts
             ids, texts, size = [], [], 0
         ids.append(r["id"])
         texts.append(r["text"])
         size += k
     if ids:
-        yield ids, texts
+        yield pa.array(ids, kind), texts
 
 
-def match_columns(tests: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text", min_words: int = 13, least: int = 5, shard_bytes: int = 4 << 20, piece_words: int = 4_000_000) -> list[Column]:
+def _columns(tests: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text", min_words: int = 13, least: int = 1, shard_bytes: int = 4 << 20, piece_words: int = 4_000_000) -> Iterator[Column]:
     """For each piece of the tests, a column with the longest match of each item in the text (first place in the text on a tie)."""
-    return [arrow(_matcher(Tests(i, t, min_words, least), shard_bytes), MATCH)(F.lower(text)) for i, t in _pieces(tests, id_col, text_col, piece_words)]
+    kind = MATCH.format(Frame(tests).df.schema[Frame(tests).at(id_col)].dataType.simpleString())
+    for ids, texts in _pieces(tests, id_col, text_col, piece_words):
+        yield arrow(_matcher(Tests(ids, texts, min_words, least), shard_bytes), kind)(F.lower(text))
 
 
 def matches(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
-    """(doc_id, item_id, n_words, doc_word, item_word): the longest verbatim match of each item in each document that holds one."""
-    d = only(docs, doc_id, doc_text).toDF("doc_id", "text")
-    parts = [d.select("doc_id", F.explode(c).alias("m")).select("doc_id", "m.*") for c in match_columns(tests, F.col("text"), **options)]
-    if not parts:
-        return d.select("doc_id", *[F.lit(None).cast(k).alias(c) for c, k in (("item_id", "bigint"), ("n_words", "int"), ("doc_word", "int"), ("item_word", "int"))]).where("false")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(doc_id, item_id, n_words, doc_word, item_word): the longest verbatim match of each item in each document that holds one.
+
+    Documents and items count as in ``decontaminate``; ids may be of any type.
+    Matches of more than one piece of the tests are staged piece by piece.
+    """
+    fr, ft = Frame(docs), Frame(tests)
+    d = fr.df.select(fr[doc_id].alias("doc_id"), fr[doc_text].alias("text"))
+    item = ft.df.schema[ft.at(options.get("id_col", "item_id"))].dataType
+    out = None
+    for c in _columns(tests, F.col("text"), **options):
+        m = d.select("doc_id", F.explode(c).alias("m")).select("doc_id", "m.*")
+        out = m if out is None else cut(out)[0].unionByName(m)
+    return d.select("doc_id", *[F.lit(None).cast(k).alias(c) for c, k in (("item_id", item), ("n_words", "int"), ("doc_word", "int"), ("item_word", "int"))]).where("false") if out is None else out
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, doc_text: str = "text", **options) -> DataFrame:
     """The documents that share no passage with a test item, all columns as they were.
 
     A shared passage is a run of ``min_words`` words (13), or the whole of an
-    item that is shorter; items of fewer than ``least`` words (5) are too
-    common to tell and aren't used. Words are compared in lower case, without
-    signs between them. Null and empty texts match nothing and stay; repeated
-    rows stand or fall alike; null items and an empty set of tests remove
-    nothing; an empty table stays empty.
+    item that is shorter, down to ``least`` words (1: every item counts; a set
+    of tests with very short items may want more). Words are compared in lower
+    case, without signs between them. Null and empty texts match nothing and
+    stay; repeated rows stand or fall alike; items with a null id or text, items
+    without a word and an empty set of tests remove nothing; an empty table
+    stays empty. Other columns may have any names, item ids any type.
     """
-    out = docs
-    for c in match_columns(tests, F.col(f"`{doc_text}`"), **options):
-        out = out.select("*", F.size(c).alias("__n_matches")).where("__n_matches = 0").drop("__n_matches")
-    return out
+    fr = Frame(docs)
+    out, path, first = fr.df, None, True
+    for c in _columns(tests, fr[doc_text], **options):
+        if not first:
+            out, new = cut(out)
+            if path:
+                drop(docs.sparkSession, path)
+            path = new
+        out, first = out.select("*", F.size(c).alias("n")).where("n = 0").drop("n"), False
+    return fr.close(out)
+
+
+def sql(docs: str = "documents", tests: str = "benchmark", min_words: int = 13) -> str:
+    """The same for DuckDB, by all runs of words of the documents, for small tables with the columns of ``documents``."""
+    word = r"[0-9a-z\x{c0}-\x{1fff}\x{2080}-\x{2fff}\x{3040}-\x{10ffff}]+"
+    ws = lambda t, i: f"select {i} as id, regexp_extract_all(lower(text), '{word}') as w from {t} where text is not null"
+    runs = lambda w, n: f"unnest(list_transform(range(1, len({w}) - {n} + 2), lambda i: array_to_string({w}[i:i + {n} - 1], ' ')))"
+    return f"""with q as ({ws(tests, 'item_id')}), d as ({ws(docs, 'doc_id')}),
+    g as (select distinct n, {runs('w', 'n')} as run from (select w, least(len(w), {min_words}) as n from q where id is not null and len(w) > 0)),
+    h as (select distinct id, n, {runs('w', 'n')} as run from d, (select distinct n from g) where len(w) >= n)
+    select * from {docs} where doc_id not in (select h.id from h join g on h.n = g.n and h.run = g.run where h.id is not null)"""

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, only, with_new
+from .shared import Frame, cut, drop
 
 COARSE_BITS = 16
 
@@ -82,12 +82,22 @@ def hilbert_index(coords: list[str], bits: int) -> str:
     return f"aggregate(sequence({bits - 1}, 0, -1), struct(0 as s, cast(0 as bigint) as h, {start}), (a, b) -> {step}, a -> a.h)"
 
 
-def _coordinate_by_share(df: DataFrame, name: str, bits: int, out: str) -> DataFrame:
-    """(key, coordinate): a value's share of the rows before it in order, nulls first. As many rows as values."""
-    c = df.groupBy(F.col(f"`{name}`").cast("string").alias(f"{out}k")).agg(F.count("*").alias("n"))
-    order = W.orderBy(F.col(f"{out}k").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    c = c.select(f"{out}k", (F.sum("n").over(order) - F.col("n")).alias("b"), F.sum("n").over(W.partitionBy()).alias("t"))
-    return c.select(f"{out}k", F.expr(f"b * {1 << bits} div t").alias(out))
+def _coordinate_by_share(df: DataFrame, column: Column, bits: int) -> DataFrame:
+    """(k, x): a value's share of the rows before it in order, nulls first. As many rows as values.
+
+    Two-level: values are spread by ranges, their rows added up within each
+    range, and only the ranges' sums meet in one task.
+    """
+    c, path = cut(df.groupBy(column.cast("string").alias("k")).agg(F.count("*").alias("n")))
+    c, path2 = cut(c.repartitionByRange(F.col("k").asc_nulls_first()).select("k", "n", F.spark_partition_id().alias("p")))
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    parts = c.groupBy("p").agg(F.sum("n").alias("m"))
+    parts = parts.select("p", (F.sum("m").over(upto(W.orderBy("p"))) - F.col("m")).alias("base"), F.sum("m").over(W.partitionBy()).alias("t"))
+    before = F.sum("n").over(upto(W.partitionBy("p").orderBy(F.col("k").asc_nulls_first()))) - F.col("n")
+    made, _ = cut(c.select("k", "n", "p", before.alias("b")).join(parts, "p").select("k", F.expr(f"(base + b) * {1 << bits} div t").alias("x")))
+    drop(df.sparkSession, path)
+    drop(df.sparkSession, path2)
+    return made
 
 
 def shard(df: DataFrame, logs: tuple[str, ...] = ("n_chars",), categories: tuple[str, ...] = ("source", "lang"), linear: tuple[str, ...] = ("doc_id",), weight: str = "n_chars", row_weight: int = 64, bits: int = 12, target: int = 32 << 20) -> DataFrame:
@@ -100,38 +110,36 @@ def shard(df: DataFrame, logs: tuple[str, ...] = ("n_chars",), categories: tuple
     that crosses the limit belonging to the former. Nulls have the least
     coordinate. Ties on the curve are broken by the columns named here, so only
     rows equal in all of them may change places. Input columns named as the new
-    ones give way. An empty table gives an empty one.
+    ones give way, all others stay whatever they are called. An empty table
+    gives an empty one.
     """
+    spark = df.sparkSession
+    fr = Frame(df)
     n = len(logs) + len(categories) + len(linear)
-    small = []
-    for i, c in enumerate(categories):
-        made, _ = cut(_coordinate_by_share(df, c, bits, f"__c{i}"))
-        small.append((c, made, f"__c{i}"))
-    ends, _ = cut(df.agg(*[e for i, c in enumerate(linear) for e in (F.min(F.col(f"`{c}`").cast("bigint")).alias(f"__a{i}"), F.max(F.col(f"`{c}`").cast("bigint")).alias(f"__b{i}"))]))
-
-    def indexed(d: DataFrame) -> DataFrame:
-        for c, made, k in small:
-            d = d.join(made, F.col(f"`{c}`").cast("string").eqNullSafe(F.col(f"{k}k")), "left").drop(f"{k}k")
+    small = [(fr[c], _coordinate_by_share(fr.df, fr[c], bits)) for c in categories]
+    ends, _ = cut(fr.df.agg(*[e for i, c in enumerate(linear) for e in (F.min(fr[c].cast("bigint")).alias(f"a{i}"), F.max(fr[c].cast("bigint")).alias(f"b{i}"))])) if linear else (None, "")
+
+    def indexed(d: DataFrame, *keep: str) -> DataFrame:
+        for i, (c, made) in enumerate(small):
+            d = d.join(made.select(F.col("k").alias(f"k{i}"), F.col("x").alias(f"x{i}")), c.cast("string").eqNullSafe(F.col(f"k{i}")), "left")
         if linear:
             d = d.crossJoin(F.broadcast(ends))  # one row
-        x = [log_bucket(f"`{c}`", bits) for c in logs] + [k for _, _, k in small]
-        x += [f"coalesce(cast((cast(`{c}` as decimal(38,0)) - __a{i}) * {1 << bits} div (cast(__b{i} as decimal(38,0)) - __a{i} + 1) as bigint), 0)" for i, c in enumerate(linear)]
-        keep = [c for c in d.columns if not c.startswith(("__c", "__a", "__b"))]
-        d = d.select(*[F.col(f"`{c}`") for c in keep], F.expr(hilbert_index(x, bits)).alias("h__"))
-        w = F.greatest(F.coalesce(F.col(f"`{weight}`").cast("bigint"), F.lit(0)), F.lit(0)) + row_weight
-        return d.select(*[F.col(f"`{c}`") for c in keep], F.col("h__").alias("__h"), w.alias("__w"))
-
-    used = list(dict.fromkeys((*logs, *categories, *linear, weight)))
-    cells, _ = cut(indexed(only(df, *used)).groupBy(F.col("__h").alias("__k")).agg(F.sum("__w").alias("w")).withColumn("top", F.shiftright("__k", max(0, n * bits - COARSE_BITS))))
+        x = [log_bucket(fr.at(c), bits) for c in logs] + [f"x{i}" for i in range(len(small))]
+        x += [f"coalesce(cast((cast({fr.at(c)} as decimal(38,0)) - a{i}) * {1 << bits} div (cast(b{i} as decimal(38,0)) - a{i} + 1) as bigint), 0)" for i, c in enumerate(linear)]
+        w = F.greatest(F.coalesce(fr[weight].cast("bigint"), F.lit(0)), F.lit(0)) + row_weight
+        return d.select(*keep, F.expr(hilbert_index(x, bits)).alias("h"), w.alias("w"))
+
+    used = list(dict.fromkeys(fr.at(c) for c in (*logs, *categories, *linear, weight)))
+    cells, path = cut(indexed(fr.df.select(*used)).groupBy("h").agg(F.sum("w").alias("w")).withColumn("top", F.shiftright("h", max(0, n * bits - COARSE_BITS))))
     coarse = cells.groupBy("top").agg(F.sum("w").alias("all"))
-    coarse, _ = cut(coarse.select("top", (F.sum("all").over(W.orderBy("top").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("all")).alias("base")))
-    within = W.partitionBy("top").orderBy("__k").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.join(coarse, "top").select("__k", (F.col("base") + F.sum("w").over(within) - F.col("w")).alias("__before"))
-    d = indexed(df.drop(*[c for c in df.columns if c.lower() in ("hilbert", "curve_start", "shard") and c not in used]))
-    d = d.join(cells, F.col("__h") == F.col("__k")).drop("__k")
-    run = W.partitionBy("__h").orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in (*linear, *logs, *categories)]).rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = d.withColumn("__start", F.col("__before") + F.sum("__w").over(run) - F.col("__w"))
-    return with_new(d, hilbert=F.col("__h"), curve_start=F.col("__start"), shard=F.expr(f"__start div {target}")).drop("__h", "__w", "__before", "__start")
+    coarse = coarse.select("top", (F.sum("all").over(W.orderBy("top").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("all")).alias("base"))
+    within = W.partitionBy("top").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells, _ = cut(cells.join(coarse, "top").select("h", (F.col("base") + F.sum("w").over(within) - F.col("w")).alias("before")))
+    drop(spark, path)
+    d = indexed(fr.df, *fr.df.columns).join(cells, "h")
+    run = W.partitionBy("h").orderBy(*[fr[c].asc_nulls_first() for c in (*linear, *logs, *categories)]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumn("start", F.col("before") + F.sum("w").over(run) - F.col("w"))
+    return fr.close(d, hilbert=F.col("h"), curve_start=F.col("start"), shard=F.expr(f"start div {target}"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

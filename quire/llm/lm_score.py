@@ -17,42 +17,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lattice import VOCABULARY, Lattice, Scorer, count_pieces, log_probabilities, vocabulary
-from .shared import arrow, only, with_new
+from .lattice import VOCABULARY, Lattice, Scorer, count_pieces, log_probabilities, slices, vocabulary
+from .shared import Frame, arrow
 
 _lattices: dict[str, Lattice] = {}
 
 
-def word_counts(docs: DataFrame, text_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def word_counts(docs: DataFrame, text: Column, keys: dict[str, Column] | None = None) -> DataFrame:
     """(keys, word, n): how often each word (run between white space) occurs in all texts.
 
     A task counts before the shuffle and hands its counts on when it holds
-    200,000 words, so its memory is bounded.
+    200,000 words or 16 million characters of them; long texts are taken in
+    slices, so its memory is bounded.
     """
+    by = keys or {}
+    keys = list(by)
 
     def run(batches):
         held: dict = {}
-        size = 0
+        size = chars = 0
 
         def out():
             for k, c in held.items():
                 yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(c), pa.string()) for v in k], pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=[*keys, "word", "n"])
 
         for b in batches:
-            cols = [b.column(i) for i in range(len(keys))]
-            for s in range(0, b.num_rows, 500):
-                part = b.slice(s, 500)
-                ks = list(zip(*[part.column(i).to_pylist() for i in range(len(keys))])) if keys else [()] * part.num_rows
-                for k, t in zip(ks, part.column(len(keys)).to_pylist()):
-                    if t:
-                        held.setdefault(k, Counter()).update(t.split())
-                size = sum(map(len, held.values()))
-                if size > 200_000:
-                    yield from out()
-                    held = {}
+            ks = list(zip(*[b.column(i).to_pylist() for i in range(len(keys))])) if keys else [()] * b.num_rows
+            texts = b.column(len(keys))
+            for i, k in enumerate(ks):
+                for part in slices(texts[i].as_py()):
+                    if not part:
+                        continue
+                    c = held.setdefault(k, Counter())
+                    size -= len(c)
+                    c.update(part.split())
+                    size += len(c)
+                    chars += len(part)
+                    if size > 200_000 or chars > 16 << 20 and sum(len(w) for c in held.values() for w in c) > 16 << 20:
+                        yield from out()
+                        held, size, chars = {}, 0, 0
+                    elif chars > 16 << 20:
+                        chars = 0
         yield from out()
 
-    d = docs.select(*[F.col(f"`{k}`").cast("string").alias(k) for k in keys], F.col(f"`{text_col}`").alias("text"))
+    d = docs.select(*[v.cast("string").alias(k) for k, v in by.items()], text.alias("text"))
     schema = "".join(f"`{k}` string, " for k in keys) + "word string, n bigint"
     return d.mapInArrow(run, schema).groupBy(*keys, "word").agg(F.sum("n").alias("n"))
 
@@ -85,14 +93,15 @@ def piece_counts(counted: DataFrame, path: str, keys: tuple[str, ...] = ()) -> d
     return out
 
 
-def lattice_column(name: str, spark, scores: np.ndarray, text: Column, path: str, after, kind: str) -> Column:
-    """``after(log-probabilities, words)`` as a column; a worker builds the lattice of the model ``name`` once."""
+def lattice_column(name: str, spark, scores: np.ndarray, text: Column, path: str, after, kind: str, *more: Column) -> Column:
+    """``after(log-probabilities, words, *more)`` as a column; a worker builds the lattice of the model ``name`` once."""
     sent = spark.sparkContext.broadcast(scores)
     mine: list[Scorer] = []  # a task's own copy, so that its memory of words ends with it
 
-    def run(arr: pa.Array) -> pa.Array:
+    def run(arr: pa.Array, *rest: pa.Array) -> pa.Array:
         if name not in _lattices:
-            _lattices.clear()
+            while len(_lattices) > 7:
+                _lattices.pop(next(iter(_lattices)))
             _, used, byte_ids = vocabulary(path)
             _lattices[name] = Lattice(used, sent.value, byte_ids)
         if not mine:
@@ -102,31 +111,30 @@ def lattice_column(name: str, spark, scores: np.ndarray, text: Column, path: str
         for i in range(0, len(arr), 1000):
             parts.append(s.texts(arr.slice(i, 1000).to_pylist()))
         if not parts:
-            return after(np.zeros((0, s.lattice.n_models)), np.zeros(0, np.int64))
-        return after(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            return after(np.zeros((0, s.lattice.n_models)), np.zeros(0, np.int64), *rest)
+        return after(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), *rest)
 
-    return arrow(run, kind)(text)
+    return arrow(run, kind)(text, *more)
 
 
 def score(docs: DataFrame, text_col: str = "text", vocabulary_path: str = VOCABULARY, smooth: float = 1.0) -> DataFrame:
     """The documents with ``logprob`` (natural log of the marginal probability), ``n_words`` and ``logprob_per_word``.
 
     Null texts and those without words have log-probability 0 of no words, and
-    null per word. Input columns of these names give way. Repeated rows score
-    alike (and count each time in the statistics). An empty table gives an
-    empty one.
+    null per word. Input columns of these names give way, all others stay
+    whatever they are called. Repeated rows score alike (and count each time in
+    the statistics). An empty table gives an empty one.
     """
     import uuid
 
-    counts = piece_counts(word_counts(docs, text_col), vocabulary_path)
+    fr = Frame(docs)
+    counts = piece_counts(word_counts(fr.df, fr[text_col]), vocabulary_path)
     c = counts.get((), np.zeros(len(vocabulary(vocabulary_path)[0]), np.int64))
     scores = log_probabilities(c, smooth)
 
     def after(v, n):
         return pa.StructArray.from_arrays([pa.array(v[:, 0]), pa.array(n)], names=["v", "n"])
 
-    s = lattice_column(uuid.uuid4().hex, docs.sparkSession, scores, F.col(f"`{text_col}`"), vocabulary_path, after, "struct<v:double,n:bigint>")
-    d = docs.select("*", s.alias("__s"))
-    per = F.when(F.col("__s.n") > 0, F.col("__s.v") / F.col("__s.n"))
-    out = with_new(d, logprob=F.col("__s.v"), n_words=F.col("__s.n"), logprob_per_word=per)
-    return out.drop("__s")
+    s = lattice_column(uuid.uuid4().hex, docs.sparkSession, scores, fr[text_col], vocabulary_path, after, "struct<v:double,n:bigint>")
+    d = fr.df.select("*", s.alias("s"))
+    return fr.close(d, logprob=F.col("s.v"), n_words=F.col("s.n"), logprob_per_word=F.when(F.col("s.n") > 0, F.col("s.v") / F.col("s.n")))

@@ -5,18 +5,24 @@ which tasks encode independently. Each chunk reports, within its overlaps, the
 token boundaries that are proven stable, with the number of tokens before each.
 Two neighbours are spliced at the first boundary that both report.
 
-A boundary is proven if the character before it isn't white space and the one
-after is a blank, tab or line end. The split pattern never joins two such
-characters, looks ahead by one character only and never behind, and merges
-never cross its splits; so the tokens before such a boundary don't depend on
-what follows it, nor those after it on what precedes it, and both chunks have
-there exactly the tokens of the whole text. Where an overlap has no such
-boundary, the document is encoded again with chunks and overlaps eight times
-as wide, until one chunk is the whole text.
+A boundary is proven where the split pattern can't join the characters around
+it, whatever else the text holds: before a blank, tab or line end that follows
+something other than white space, and between letters, digits and other signs,
+unless an apostrophe comes before a letter. The pattern looks ahead by one
+character only and never behind, and merges never cross its splits; so the
+tokens before such a boundary don't depend on what follows it, nor those after
+it on what precedes it, and both chunks have there exactly the tokens of the
+whole text. Texts without blanks, as Chinese or Thai, so have boundaries at
+their punctuation and marks. Where an overlap has no boundary, the document is
+encoded again with chunks and overlaps eight times as wide, until one chunk is
+the whole text.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,9 +35,28 @@ from .shared import arrow, cut, only
 _BLANK = " \n\t\r"
 
 
+@lru_cache(maxsize=1 << 16)
+def _kind(ch: str) -> str:
+    """L, N or S (other signs); B for blanks; empty for what isn't sure: other white space, and characters that aren't assigned or too new."""
+    if ch in _BLANK:
+        return "B"
+    k = unicodedata.category(ch)
+    if ch.isspace() or k in ("Cn", "Cs") or k[0] == "Z" or 0x2EBF0 <= ord(ch) <= 0x2EE5F:
+        return ""
+    return k[0] if k[0] in "LN" else "S"
+
+
 def proven(text: str, first: int, last: int) -> list[int]:
     """Positions from ``first`` to ``last`` of proven boundaries (never the text's own ends)."""
-    return [p for p in range(max(first, 1), min(last, len(text) - 1) + 1) if text[p] in _BLANK and not text[p - 1].isspace()]
+    out = []
+    a, b = max(first, 1), min(last, len(text) - 1)
+    x = _kind(text[a - 1]) if a <= b else ""
+    for p in range(a, b + 1):
+        y = _kind(text[p])
+        if x and y and x != y and x != "B" and not (y == "L" and text[p - 1] == "'"):
+            out.append(p)
+        x = y
+    return out
 
 
 def boundaries(text: str, path: str, zones: list[tuple[int, int]]) -> tuple[int, list[dict[int, int]]]:
@@ -109,16 +134,17 @@ def _round(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in (0, 1, 2, 3, 4, 5)], pa.array([r[0] for r in rows], pa.int64()), *lists], names=["id", "k1", "k2", "k", "of", "start", "n", "hp", "hn", "tp", "tn"])
 
     def joined(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = int((pdf["k"] == 0).sum())
-        pdf = pdf.drop_duplicates("k").sort_values("k")
+        times = int(pdf.loc[pdf["k"] == 0, "times"].sum())
+        pdf = pdf.sort_values("k")
         zip_ = lambda a, b: dict(zip(map(int, a), map(int, b)))
         total = splice([(int(r.start), int(r.n), zip_(r.hp, r.hn), zip_(r.tp, r.tn)) for r in pdf.itertuples()])
         return pd.DataFrame({"id": [pdf["id"].iloc[0]], "k1": [key[1]], "k2": [key[2]], "n_tokens": pd.array([total], "Int64"), "n_chunks": [len(pdf)], "times": [times]})
 
     kind = docs.schema["id"].dataType.simpleString()
     cutup = docs.mapInArrow(slices, f"id {kind}, k1 bigint, k2 bigint, k int, of int, start bigint, text string")
-    spread = cutup.repartition("k1", "k")
+    spread = cutup.repartition("k1", "k", F.spark_partition_id())  # copies of one text too
     enc = spread.mapInArrow(encoded, f"id {kind}, k1 bigint, k2 bigint, k int, of int, start bigint, n bigint, hp array<bigint>, hn array<bigint>, tp array<bigint>, tn array<bigint>")
+    enc = enc.groupBy("id", "k1", "k2", "k", "start").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "hp", "hn", "tp", "tn")])
     return enc.groupBy("id", "k1", "k2").applyInPandas(joined, f"id {kind}, k1 bigint, k2 bigint, n_tokens bigint, n_chunks int, times int")
 
 
@@ -127,7 +153,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal to encoding each text as a whole. Null and empty texts have 0 tokens
     in 0 chunks. Rows that repeat an id are counted one by one. An empty table
-    gives an empty one.
+    gives an empty one. Other columns are left behind, whatever they are called.
     """
     d = only(docs, id_col, text_col).toDF("id", "text")
     huge = F.length("text") > chunk + overlap
