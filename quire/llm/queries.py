@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hilbert_shards": hilbert.sql(), "op4_decontaminate": decontaminate.sql()}
+    return {"op1_hilbert_shards": hilbert.sql(), "op4_decontaminate": decontaminate.sql(), "op7_embedding_dedup": embed_dedup.sql()}
