@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import arrow, only, with_new
+from .shared import Frame, arrow, only
 
 FEATURES = ("log_bytes", "log_words", "word_length", "long_words", "upper", "digit", "sign", "space", "sign_ends", "distinct_words", "repeated_next", "log_line_words", "exclaims", "bars")
 #: At most about so many labelled documents are fitted on.
@@ -195,6 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = lab.count()
     if n > sample:
         lab = lab.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * (sample / n)))
+        n = lab.count()
+    if n <= 2 * sample:  # as good as always: the documents themselves aren't shuffled
+        lab = F.broadcast(lab)
     d = only(docs, id_col, text_col).toDF("id", "text").where("id is not null and text is not null")
     got = d.join(lab, "id").select("id", "y", arrow(_lists, "array<float>")(F.col("text")).alias("x")).toPandas().sort_values("id", kind="stable")
     x = np.stack(got["x"].to_numpy()).astype(np.float32) if len(got) else np.zeros((0, len(FEATURES)), np.float32)
@@ -212,11 +215,13 @@ def accept(docs: DataFrame, model: Gam, text_col: str = "text", least: float = 0
     Null texts have no score (null ``quality_score``) and stay; an empty text
     is scored as one of no bytes. Repeated rows are judged alike. Adds
     ``quality_score``, the probability, if ``out``; an input column of that
-    name gives way. An empty table stays empty.
+    name gives way, all others stay whatever they are called. An empty table
+    stays empty.
     """
     def run(arr: pa.Array) -> pa.Array:
         p = 1 / (1 + np.exp(-np.clip(model.score(features(arr)), -500, 500)))
         return pa.array(p, mask=np.asarray(arr.is_null()))
 
-    d = docs.select("*", arrow(run, "double")(F.col(f"`{text_col}`")).alias("__q")).where(F.coalesce(F.col("__q"), F.lit(1.0)) >= least)
-    return with_new(d, quality_score=F.col("__q")).drop("__q") if out else d.drop("__q")
+    fr = Frame(docs)
+    d = fr.df.select("*", arrow(run, "double")(fr[text_col]).alias("q")).where(F.coalesce(F.col("q"), F.lit(1.0)) >= least)
+    return fr.close(d, quality_score=F.col("q")) if out else fr.close(d)
