@@ -1,7 +1,7 @@
 """Best-fit packing of documents into sequences by exact complements.
 
 Only the histogram of lengths, at most ``capacity`` numbers, decides the plan,
-so the driver's work doesn't grow with the corpus. For each length from the
+so planning doesn't grow with the corpus. For each length from the
 longest down, an index of the sums of single lengths, pairs and triples that
 are still available tells whether the gap can be filled exactly; such a
 combination is consumed as often as the availability counts allow. Lengths
@@ -22,10 +22,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import arrow, cut, only
+from .shared import Frame, arrow, cut
 
-#: Ranks within a length are taken in so many parts, so that a common length is no single task.
-PARTS = 16
+#: Ranks within a length are taken in parts of about so many pieces, so that a common length is no single task.
+PART = 1 << 20
 
 
 class SumIndex:
@@ -193,37 +193,87 @@ def plan(have: np.ndarray) -> Plan:
     return Plan(key, b, o, n_bins)
 
 
+def _spread(rows: DataFrame, times: str, block: int = 1 << 16) -> DataFrame:
+    """Each row ``times`` times, with ``copy`` from 0. A row of very many goes to several tasks, a block to each."""
+    many = (rows.agg(F.max(times)).first()[0] or 0) > block
+    if many:
+        rows = rows.withColumn("block", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {block})"))).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        last = f"least({times} - block * {block}, {block}) - 1"
+        return rows.withColumn("copy", F.explode(F.expr(f"sequence(block * {block}, block * {block} + {last})"))).drop("block")
+    return rows.withColumn("copy", F.explode(F.expr(f"sequence(0L, {times} - 1)")))
+
+
+def _offsets(sums: dict[tuple[int, int], int]) -> dict[tuple[int, int], int]:
+    """For (length, part) the pieces of that length in the parts before."""
+    out, last, total = {}, None, 0
+    for (x, q), n in sorted(sums.items()):
+        total = total if x == last else 0
+        out[x, q] = total
+        last, total = x, total + n
+    return out
+
+
 def pack_lengths(lengths: DataFrame, capacity: int = 2048) -> DataFrame:
     """Place (doc_id, n) documents of n tokens: (doc_id, piece, start, length, sequence, position).
 
-    A document longer than ``capacity`` is cut into full pieces and a rest.
+    A document longer than ``capacity`` is cut into full pieces and a rest. A
+    full piece is a sequence of its own, so they need no rank: a document's
+    full pieces take as many numbers in a row. Rows of equal id and n count as
+    one with a number of times until they are placed. Within a length (or
+    among the full pieces) ranks are running sums over parts, as many as make
+    ``PART`` pieces each; the driver gets one number for each of those.
     """
-    full = F.expr(f"cast(n div {capacity} as int)")
-    pieces = F.when(F.coalesce("n", F.lit(0)) <= 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)")))
-    p = lengths.select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.explode(pieces).alias("piece"))
-    start = F.col("piece").cast("bigint") * capacity
-    p = p.select("doc_id", "piece", start.alias("start"), F.greatest(F.least(F.col("n") - start, F.lit(capacity)), F.lit(0)).cast("int").alias("length"))
-    p = p.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
-    seen = p.where("length > 0").groupBy("length", "part").count().toPandas()
-    grid = np.zeros((capacity + 1, PARTS), np.int64)
-    grid[seen["length"].to_numpy(dtype=int), seen["part"].to_numpy(dtype=int)] = seen["count"].to_numpy(dtype=np.int64)
-    before = np.cumsum(grid, axis=1) - grid
-    made = plan(grid.sum(axis=1))
-    sent = p.sparkSession.sparkContext.broadcast((made, before))
-
-    def run(length: pa.Array, part: pa.Array, rn: pa.Array) -> pa.Array:
-        made, before = sent.value
-        x, q, r = (v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (length, part, rn))
-        some = x > 0
-        b, o = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        if some.any():
-            b[some], o[some] = made.place(x[some], before[x[some], q[some]] + r[some] - 1)
-        return pa.StructArray.from_arrays([pa.array(b), pa.array(o.astype(np.int32))], names=["b", "o"], mask=pa.array(~some))
-
-    w = W.partitionBy("length", "part").orderBy("doc_id", "piece")
-    q = p.withColumn("rn", F.row_number().over(w))
-    q = q.withColumn("at", arrow(run, "struct<b:bigint,o:int>")(F.col("length"), F.col("part"), F.col("rn")))
-    return q.select("doc_id", "piece", "start", "length", F.col("at.b").alias("sequence"), F.col("at.o").alias("position"))
+    spark = lengths.sparkSession
+    d, _ = cut(lengths.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("times")))
+    full, rest = F.expr(f"greatest(n, 0) div {capacity}"), F.expr(f"cast(greatest(n, 0) % {capacity} as int)")
+    d = d.select("doc_id", "n", "times", full.alias("full"), rest.alias("rest"))
+    seen = {r["rest"]: r["m"] for r in d.where("rest > 0").groupBy("rest").agg(F.sum("times").alias("m")).collect()}
+    n_full, long = d.where("full > 0").agg(F.sum(F.col("times") * F.col("full")), F.count("*")).first()
+    have = np.zeros(capacity + 1, np.int64)
+    for x, m in seen.items():
+        have[x] = m
+    made = plan(have)
+    parts = {x: -(-m // PART) for x, m in seen.items()}
+    parts[0] = -(-(long or 0) // PART) or 1
+
+    def parted(rows: DataFrame, length: Column) -> DataFrame:
+        """Adds the part: of as many as the length has."""
+        of = F.get(F.array(*[F.lit(parts.get(x, 1)) for x in range(capacity + 1)]), length)
+        return rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "n"), of).cast("int"))
+
+    def ranked(rows: DataFrame, amount: str) -> DataFrame:
+        """Adds ``rn``, the sum of ``amount`` over the rows before in the same part."""
+        upto = W.partitionBy("length", "part").orderBy("doc_id", "n").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return rows.withColumn("rn", F.sum(amount).over(upto) - F.col(amount))
+
+    def before(rows: DataFrame, amount: str) -> dict[tuple[int, int], int]:
+        return _offsets({(r["length"], r["part"]): r["m"] for r in rows.groupBy("length", "part").agg(F.sum(amount).alias("m")).collect()})
+
+    out = ("doc_id", "piece", "start", "length", "sequence", "position")
+    # full pieces: sequences from 0 on
+    w = parted(d.where("full > 0").withColumn("length", F.lit(0)).withColumn("amount", F.col("times") * F.col("full")), F.lit(0))
+    sums = before(w, "amount")
+    base = F.get(F.array(*[F.lit(int(sums.get((0, q), 0))).cast("bigint") for q in range(parts[0])]), F.col("part"))
+    w = _spread(ranked(w, "amount").withColumn("base", base), "times")
+    w = w.withColumn("piece", F.explode(F.expr("sequence(0, cast(full - 1 as int))")))
+    whole = w.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.lit(capacity).alias("length"), (F.col("base") + F.col("rn") + F.col("copy") * F.col("full") + F.col("piece")).alias("sequence"), F.lit(0).alias("position"))
+    # rests: sequences of the plan, after those
+    first = int(n_full or 0)
+    v = parted(d.where("rest > 0").withColumn("length", F.col("rest")), F.col("length"))
+    sent = spark.sparkContext.broadcast((made, before(v, "times")))
+
+    def run(length: pa.Array, part: pa.Array, rank: pa.Array) -> pa.Array:
+        made, sums = sent.value
+        x, q, r = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (length, part, rank))
+        key, inv = np.unique((x << 32) | q, return_inverse=True)
+        off = np.array([sums[k >> 32, k & 0xFFFFFFFF] for k in key.tolist()], np.int64)
+        b, o = made.place(x, r + off[inv]) if len(x) else (x, x)
+        return pa.StructArray.from_arrays([pa.array(b + first), pa.array(o.astype(np.int32))], names=["b", "o"])
+
+    v = _spread(ranked(v, "times"), "times").withColumn("at", arrow(run, "struct<b:bigint,o:int>")(F.col("length"), F.col("part"), F.col("rn") + F.col("copy")))
+    some = v.select("doc_id", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("start"), "length", F.col("at.b").alias("sequence"), F.col("at.o").alias("position"))
+    none = _spread(d.where("n <= 0"), "times").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("length"), F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("int").alias("position"))
+    return whole.unionByName(some).unionByName(none).select(*out)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, length: Column | None = None, path: str = tokens.RANKS) -> DataFrame:
@@ -233,8 +283,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Every token of every document has exactly one place, and no sequence holds
     more than ``capacity``. Null and empty texts have one row of length 0 and
     null place. Rows that repeat an id are placed one by one; ties within a
-    length are broken by id and piece. An empty table gives an empty one.
+    length are broken by id and piece. An empty table gives an empty one. Other
+    columns are left behind, whatever they are called.
     """
-    n = arrow(lambda a: pa.array(tokens.counts(a, path)), "bigint")(F.col(f"`{text_col}`")) if length is None else length.cast("bigint")
-    d, _ = cut(docs.select(F.col(f"`{id_col}`").alias("doc_id"), n.alias("n")))
-    return pack_lengths(d, capacity)
+    if length is not None:
+        return pack_lengths(docs.select(F.col(f"`{id_col}`").alias("doc_id"), length.cast("bigint").alias("n")), capacity)
+    fr = Frame(docs)
+    return pack_lengths(fr.df.select(fr[id_col].alias("doc_id"), arrow(lambda a: pa.array(tokens.counts(a, path)), "bigint")(fr[text_col]).alias("n")), capacity)
