@@ -256,7 +256,7 @@ def test_decontaminate(spark, shard):
         for k, q in items:
             w = words.plain(q)
             n = _longest(words.plain(t), w)
-            if len(w) >= 5 and n >= min(6, len(w)):
+            if w and n >= min(6, len(w)):
                 want[i, k] = n
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(d, b, min_words=6, shard_bytes=shard).collect()}
     assert {k: r["n_words"] for k, r in got.items()} == want
@@ -303,12 +303,22 @@ def test_trie_join_is_exact():
     want = set()
     for i in range(len(fp)):
         want |= {(i, i + 1 + j) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1) <= 17).tolist()}
-    found = set()
-    for blk in range(8):
-        t = simhash._turn(fp[:, 0], fp[:, 1], blk)
-        o = np.lexsort((t[:, 1], t[:, 0]))
-        simhash.trie_join(t[o], None, 17, 2, lambda i, j: found.update((min(a, b), max(a, b)) for a, b in zip(o[i].tolist(), o[j].tolist())), leaf=4)
-    assert found == want and len(want) > 300
+    for count in (3, 150_000, 1 << 24, 1 << 33):  # other sizes, other blocks, the same pairs
+        found = set()
+        blocks = simhash.blocks_for(count, 17)
+        assert sum(t + 1 for _, _, t in blocks) == 18 and sum(w for _, w, _ in blocks) == 128
+        for r, w, bound in blocks:
+            t = simhash._turn(fp[:, 0], fp[:, 1], r)
+            o = np.lexsort((t[:, 1], t[:, 0]))
+            simhash.trie_join(t[o], 0, 17, w, bound, lambda i, j: found.update((min(a, b), max(a, b)) for a, b in zip(o[i].tolist(), o[j].tolist())), leaf=4)
+        assert found == want and len(want) > 300
+
+
+def test_work_by_size():
+    """Pairs to compare stay far from the square of the corpus."""
+    for n in (10**6, 10**8, 10**10):
+        share = sum(sum(math.comb(w, k) for k in range(t + 1)) / 2**w for _, w, t in simhash.blocks_for(n, 18))
+        assert share * n < 40 * n**0.5
 
 
 def _copies(seed=3, n=120):

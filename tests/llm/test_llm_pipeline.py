@@ -58,7 +58,7 @@ def brute(docs, labels, bench):
     for r in bench:
         w = words.plain(r["text"])
         n = min(13, len(w))
-        grams |= {(n, *w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= 5 else set()
+        grams |= {(n, *w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
     sizes = {g[0] for g in grams}
     docs = [d for d in docs if not any((n, *w[i : i + n]) in grams for w in [words.plain(d["text"])] for n in sizes for i in range(len(w) - n + 1))]
     pieces = []
