@@ -10,12 +10,13 @@ from ..functions import text as X
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """AGG-9: (keys, n, p50, p95, max): element n/2 and element ceil(0.95 n) - 1 of the sorted values, 0 for none."""
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    n = F.size("v")
-    at = lambda i: F.coalesce(F.get("v", i), F.lit(0.0))
-    last = F.greatest(F.ceil(n * F.lit(95) / 100).cast("int") - 1, F.lit(0))
-    return g.select(*keys, n.cast("bigint").alias("n"), at(F.floor(n / 2).cast("int")).alias("p50"), at(F.least(last, n - 1)).alias("p95"), F.coalesce(F.array_max("v"), F.lit(0.0)).alias("max"))
+    """AGG-9: (keys, n, p50, p95, max): element n/2 and element ceil(0.95 n) - 1 of the sorted values, 0 for none.
+
+    Equal values are counted before the shuffle; the upper median is the
+    discrete one of the values in falling order.
+    """
+    at = lambda p, order: F.coalesce(F.expr(f"percentile_disc({p}) within group (order by `{value}` {order})"), F.lit(0.0))
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), at(0.5, "desc").alias("p50"), at(0.95, "asc").alias("p95"), F.coalesce(F.max(value), F.lit(0.0)).alias("max"))
 
 
 def page_timings(df: DataFrame, page: str, stage: str, ms: str, stages: list[str]) -> DataFrame:

@@ -274,3 +274,68 @@ def image_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("case when o_orderkey % 7 = 0 then 'figure_title' else 'image' end").alias("element_type"), F.lit(0.0).alias("x_min"), F.expr("case when o_orderkey % 3 = 0 then 400.0D else 1200.0D end").alias("x_max"), F.lit(0.0).alias("y_min"), F.lit(160.0).alias("y_max"))
     g = D.image_tables(r, e.withColumn("el_idx", F.lit(0)), _KEY)
     return g.select("doc_id", "cols", "has_header", F.size("rows").alias("n_rows"), D.to_html(g).alias("html"))
+
+
+# ---- whole grids ----------------------------------------------------------------------------------------------------
+
+
+def _rows(p: str, tol: str, gap: str) -> str:
+    """CTEs from {p}t (doc_id, pw, ...) to {p}c: cells of pages of four regions and more, rows by ``tol`` and cells by ``gap``."""
+    one = "{'y': y_min, 'i': region_idx, 'a': cast(null as double), 'g': 0}"
+    same = "p[-1].a is not null and abs(p[-1].a - x[1].y) <= tol"
+    return f"""{p}v as (select r.doc_id, any_value({tol}) as tol, list({one} order by y_min, region_idx) as v from r join {p}t t on t.doc_id = r.doc_id group by r.doc_id),
+    {p}w as (select doc_id, list_reduce(list_transform(v, lambda x : [x]), lambda p, x : list_append(p, struct_update(x[1], a := case when {same} then p[-1].a else x[1].y end, g := case when {same} then p[-1].g else p[-1].g + 1 end)), [{{'y': 0.0, 'i': 0, 'a': cast(null as double), 'g': 0}}]) as o from {p}v),
+    {p}u as (select doc_id, unnest(o[2:]) as z from {p}w), {p}r as (select r.*, z.g as row_no, {gap} as gap from {p}u u join r on r.doc_id = u.doc_id and r.region_idx = z.i join {p}t t on t.doc_id = r.doc_id),
+    {p}x as (select *, coalesce(x_min - lag(x_max) over w > gap, true) as cut from {p}r window w as (partition by doc_id, row_no order by x_min, region_idx)),
+    {p}y as (select *, sum(case when cut then 1 else 0 end) over (partition by doc_id, row_no order by x_min, region_idx rows unbounded preceding) as cell_no from {p}x),
+    {p}c as (select doc_id, row_no, cell_no, arg_min(x_min, {{'x': x_min, 'i': region_idx}}) as x, arg_min(y_min, {{'x': x_min, 'i': region_idx}}) as y, string_agg(text, ' ' order by x_min, region_idx) as text from {p}y group by doc_id, row_no, cell_no)"""
+
+
+#: regions with some pitch, wide enough apart to make cells
+_SPREAD = A.REGIONS.replace("cast(l_linenumber * 20", "cast(l_linenumber * (10 + l_orderkey % 4 * 6)")
+_TOLERANCE = f"""{_SPREAD}, big as (select doc_id from r group by doc_id having count(*) >= 4),
+    q1t as (select r.doc_id, greatest(max(x_max), 0) as pw, list_sort(list(y_max - y_min)) as hs from r join big on big.doc_id = r.doc_id group by r.doc_id), {_rows('q1', 'greatest(hs[len(hs) // 2 + 1] * 0.8, 2)', 'pw * 0.012')},
+    al as (select doc_id, row_no, avg(y) as c from q1c group by doc_id, row_no), ad as (select doc_id, abs(c - lag(c) over (partition by doc_id order by row_no)) as d from al), ap as (select doc_id, list_sort(list(d) filter (where d is not null)) as v from ad group by doc_id),
+    q2t as (select q1t.doc_id, pw, least(greatest(coalesce(v[len(v) // 2 + 1], 12) * 0.5, 4), greatest(pw * 0.3, 4)) as row_tol from q1t join ap on ap.doc_id = q1t.doc_id)"""
+
+
+def _spread(spark, sf_dir):
+    return A.table(spark, sf_dir, "lineitem").selectExpr(*[c.replace("cast(l_linenumber * 20", "cast(l_linenumber * (10 + l_orderkey % 4 * 6)") for c in A.REGION_COLUMNS])
+
+
+@query(f"with {_TOLERANCE} select doc_id, pw as page_w, row_tol from q2t")
+def row_tolerances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _spread(spark, sf_dir)
+    return D.row_tolerance(r.withColumn("n", F.count("*").over(W.partitionBy("doc_id"))).where("n >= 4").drop("n"), _KEY)
+
+
+_HEADER = "|".join(S.HEADER_WORDS)
+
+
+def _is_header(h: str, b: str) -> str:
+    mean = lambda v: f"coalesce(list_sum(list_transform({v}, lambda t : length(t))), 0) / greatest(len({v}), 1)"
+    return f"(regexp_matches(array_to_string({h}, ''), '{_HEADER}') or (len({b}) > 0 and {mean(h)} <= 5 and {mean(b)} > {mean(h)} * 1.8))"
+
+
+@query(f"""with {_TOLERANCE}, {_rows('q2', 'row_tol', 'pw * 0.012')}, na as (select doc_id, row_no, count(*) as k from q2c group by doc_id, row_no), nb as (select doc_id, k from na where k >= 2 group by doc_id, k having count(*) >= 2), cols as (select doc_id, max(k) as cols from nb group by doc_id),
+    xa as (select c.doc_id, c.cell_no - 1 as col, list_sort(list(x)) as v from q2c c join na on na.doc_id = c.doc_id and na.row_no = c.row_no join cols on cols.doc_id = c.doc_id where k = cols.cols group by c.doc_id, c.cell_no - 1), cent as (select doc_id, col, v[len(v) // 2 + 1] as center from xa),
+    pa as (select c.*, p.col, row_number() over (partition by c.doc_id, c.row_no, c.cell_no order by abs(x - center), p.col) as n from q2c c join na on na.doc_id = c.doc_id and na.row_no = c.row_no and k >= 2 join cent p on p.doc_id = c.doc_id),
+    placed as (select * from pa where n = 1 qualify row_number() over (partition by doc_id, row_no, col order by text = '', x, cell_no) = 1), f as (select *, min(row_no) over (partition by doc_id) as first from placed),
+    ac2 as (select f.doc_id, col, max(x) filter (where row_no > first and text <> '') - min(x) filter (where row_no > first and text <> '') as d, any_value(greatest(pw * 0.02, 10)) as t from f join q2t on q2t.doc_id = f.doc_id group by f.doc_id, col),
+    ok as (select doc_id from ac2 group by doc_id having bool_and(d is null or d <= t)), full_ as (select ok.doc_id, w.row_no, cols, k.k as col from ok join cols on cols.doc_id = ok.doc_id join (select distinct doc_id, row_no from placed) w on w.doc_id = ok.doc_id, (select unnest(range(50)) as k) k where k.k < cols),
+    g as (select full_.*, coalesce(p.text, '') as text, min(full_.row_no) over (partition by full_.doc_id) as first from full_ left join placed p on p.doc_id = full_.doc_id and p.row_no = full_.row_no and p.col = full_.col),
+    o as (select doc_id, any_value(cols) as cols, list(text order by col) filter (where row_no = first) as h, coalesce(list(text order by row_no, col) filter (where row_no > first), []) as b from g group by doc_id)
+    select doc_id, cast(cols as integer) as cols, {_is_header('h', 'b')} as has_header, array_to_string(h, '|') as header, array_to_string(b, '|') as body from o""")
+def grid_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = D.reconstruct(_spread(spark, sf_dir), _KEY)
+    text = lambda v: F.array_join(F.transform(v, lambda c: c["text"]), "|")
+    return g.select("doc_id", "cols", "has_header", text(F.col("header")).alias("header"), text(F.flatten("rows")).alias("body"))
+
+
+_H, _B = "string_split(substr(text, 1, 24) || case when doc_id % 7 = 0 then '编号' else '' end, ' ')", "string_split(substr(text, 25, 200), ' ')"
+
+
+@query(f"select doc_id, {_is_header(_H, _B)} as header from documents")
+def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.split(F.concat(F.substring("text", 1, 24), F.when(F.col("doc_id") % 7 == 0, "编号").otherwise("")), " ")
+    return A.table(spark, sf_dir, "documents").select("doc_id", D.is_header(h, F.split(F.substring("text", 25, 200), " ")).alias("header"))
