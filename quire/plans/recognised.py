@@ -58,10 +58,14 @@ def render_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.render_subset(o.where("doc_id % 3 > 0"), o.where("doc_id % 2 = 0").unionByName(o.where("doc_id % 4 = 0")), _KEY)
 
 
-@query(f"""with {A.ITEMS}, g as (select *, lag(x + width) over (partition by doc_id, line_no order by x, item_idx) as e, max(x + width) over (partition by doc_id) as pw from t),
+#: many items a page, on some pages at two places only
+_CROWDED = ["l_orderkey % 600 as doc_id", "cast(l_linenumber as integer) as line_no", f"cast(row_number() over ({A._ORDER}) + l_orderkey * 10 as integer) as item_idx", "cast((l_partkey % (2 + l_orderkey % 3)) * 150 as double) as x", "cast(100 as double) as width"]
+
+
+@query(f"""with t as (select {', '.join(_CROWDED)} from lineitem), g as (select *, lag(x + width) over (partition by doc_id, line_no order by x, item_idx) as e, max(x + width) over (partition by doc_id) as pw from t),
     s as (select doc_id, line_no, count(*) filter (where x - e > pw * 0.01) + 1 as s from g group by doc_id, line_no) select doc_id from s where doc_id % 2 = 0 group by doc_id having count(*) filter (where s >= 3) >= 3""")
 def suspicious_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.suspicious_pages(A.items(spark, sf_dir), A.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("doc_id")), _KEY)
+    return R.suspicious_pages(A.table(spark, sf_dir, "lineitem").selectExpr(*_CROWDED), A.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 600 as doc_id").where("doc_id % 2 = 0"), _KEY)
 
 
 @query("select l_orderkey as doc_id from lineitem group by l_orderkey having count(*) filter (where l_returnflag = 'R') > 0")
