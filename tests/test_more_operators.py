@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import blocks as B
@@ -49,3 +52,97 @@ def test_precedence_and_errors(spark):
     assert [r[0] for r in d.select(P.precedence(F.col("g"), F.col("t"), F.col("b"))).collect()] == ["g", "t", "b"]
     e = spark.createDataFrame([("a", None, "x"), ("b", 1, "y")], "doc_id string, page int, error string")
     assert [tuple(r) for r in R.document_errors(e).collect()] == [("a", "x")]
+
+
+# grids in plain loops ------------------------------------------------------------------------------------------------
+
+
+def plain_rows(items, tol, gap):
+    rows = []
+    for r in sorted(items, key=lambda r: (r["y_min"], r["region_idx"])):
+        if rows and abs(rows[-1][0]["y_min"] - r["y_min"]) <= tol:
+            rows[-1].append(r)
+        else:
+            rows.append([r])
+    out = []
+    for row in rows:
+        cells = []
+        for r in sorted(row, key=lambda r: (r["x_min"], r["region_idx"])):
+            if cells and r["x_min"] - cells[-1][-1]["x_max"] <= gap:
+                cells[-1].append(r)
+            else:
+                cells.append([r])
+        made = []
+        for c in cells:
+            text = ""
+            for r in c:
+                text += (" " if text[-1:].isalnum() and text[-1:].isascii() and r["text"][:1].isalnum() and r["text"][:1].isascii() else "") + r["text"].strip()
+            made.append({"text": text, "x": c[0]["x_min"], "y": c[0]["y_min"], "h": max(r["y_max"] - r["y_min"] for r in c)})
+        out.append(made)
+    return out
+
+
+def upper(v, default):
+    v = sorted(v)
+    return v[len(v) // 2] if v else default
+
+
+def plain_grid(items, page_w, tolerant):
+    if len(items) < 4:
+        return None
+    coarse = plain_rows(items, max(upper([r["y_max"] - r["y_min"] for r in items], 10.0) * 0.8, 2.0), 0.012 * page_w)
+    mid = [sum(c["y"] for c in r) / len(r) for r in coarse]
+    pitch = upper([abs(a - b) for a, b in zip(mid, mid[1:])], 12.0)
+    rows = plain_rows(items, min(max(pitch * 0.5, 4.0), max(page_w * 0.3, 4.0)), 0.012 * page_w)
+    rows = [r for r in rows if len(r) >= 2]
+    cols = max((k for k in {len(r) for r in rows} if sum(len(r) == k for r in rows) >= 2), default=0)
+    if cols < 2:
+        return None
+    centers = [upper([r[c]["x"] for r in rows if len(r) == cols], 0) for c in range(cols)]
+    placed = []
+    for r in rows:
+        a = [None] * cols
+        for cell in r:
+            k = min(range(cols), key=lambda c: (abs(cell["x"] - centers[c]), c))
+            if a[k] is None or not a[k]["text"] or cell["x"] < a[k]["x"]:
+                a[k] = cell
+        placed.append(a)
+    tol = max(0.02 * page_w, 10.0)
+    for c in range(cols):
+        xs = [r[c]["x"] for r in placed[1:] if r[c] and r[c]["text"]]
+        if len(xs) >= 2:
+            if tolerant and sum(abs(x - upper(xs, 0)) > tol for x in xs) * 100 > len(xs) * 30 or not tolerant and max(xs) - min(xs) > tol:
+                return None
+    return [[c["text"] if c else "" for c in r] for r in placed]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("image", [False, True])
+def test_grids_plain(spark, image):
+    from quire.plans import adapters as A
+    from quire.plans import catalog
+
+    pages = {}
+    for r in A.regions(spark, SF).collect():
+        pages.setdefault(r["doc_id"], []).append(r.asDict())
+    want = {}
+    for doc, items in pages.items():
+        page_w = max(max(r["x_max"] for r in items), 0.0)
+        if image:
+            if doc % 7 == 0:
+                continue
+            tw, th, lw, lh = page_w, max(r["y_max"] for r in items), 400.0 if doc % 3 == 0 else 1200.0, 160.0
+            items = [r for r in items if 0 <= (r["x_min"] + r["x_max"]) / 2 / tw <= 1 and 0 <= (r["y_min"] + r["y_max"]) / 2 / th <= 160.0 / lh and lw]
+        g = plain_grid(items, page_w, image)
+        if g is None:
+            continue
+        some = [t for r in g for t in r if t]
+        if image and (len(some) * 100 < len(g) * len(g[0]) * 50 or len(g[0]) == 2 and sum(len(t) >= 15 for t in some) * 10 > len(some) * 6):
+            continue
+        want[doc] = (len(g[0]), len(g) - 1)
+    name = "image_tables" if image else "grid_reconstruct"
+    got = {r["doc_id"]: (r["cols"], r["n_rows"]) for r in catalog.QUERIES[name](spark, SF).collect()}
+    assert got == want and len(want) > 20
