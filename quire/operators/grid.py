@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -208,50 +207,62 @@ def from_structure(cell: DataFrame, keys: list[str], regions: DataFrame | None =
     return g.withColumn("has_header", is_header(F.transform("header", lambda v: v["text"]), F.transform(F.flatten("rows"), lambda v: v["text"]))).select(*keys, "cols", "has_header", "header", "rows")
 
 
-def _html(header, rows, cols) -> str:
-    esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-
-    def cell(t, across, down=1):
-        a = f' colspan="{across}"' * (across > 1) + f' rowspan="{down}"' * (down > 1)
-        return f"<td{a}>{esc(t)}</td>"
-
-    tops = [next(c["y"] for c in r if c["text"]) for r in (header, *rows) if any(c["text"] for c in r)]
-    gaps = sorted(abs(a - b) for a, b in zip(tops, tops[1:]))
-    pitch = max(gaps[len(gaps) // 2], S.PITCH_FLOOR) if gaps else S.PITCH_DEFAULT
-    out, c = ["<table><thead><tr>"], 0
-    while c < len(header):
-        end = c + 1
-        while end < len(header) and not header[end]["text"]:
-            end += 1
-        out.append(cell(header[c]["text"], end - c))
-        c = end
-    out.append("</tr></thead><tbody>")
-    covered = set()
-    for i, r in enumerate(rows):
-        out.append("<tr>")
-        c = 0
-        while c < cols:
-            if (i, c) in covered:
-                c += 1
-                continue
-            end = c + 1
-            while end < cols and not r[end]["text"] and (i, end) not in covered:
-                end += 1
-            down = 1
-            if r[c]["text"] and r[c]["h"] > pitch * S.SPAN_FACTOR:
-                down = max(1, min(int(r[c]["h"] / pitch + 0.5), len(rows) - i))
-                covered |= {(k, c) for k in range(i + 1, i + down) if not rows[k][c]["text"]}
-            out.append(cell(r[c]["text"], end - c, down))
-            c = end
-        out.append("</tr>")
-    return "".join([*out, "</tbody></table>"])
+def _first(upto: Column, start: Column, stop) -> Column:
+    """The least index from ``start`` to ``upto`` where ``stop`` holds; ``upto`` if it does nowhere before."""
+    return F.array_min(F.filter(F.sequence(start, upto), lambda j: (j == upto) | stop(j)))
 
 
-def to_html(grids: DataFrame) -> Column:
-    """GRD-9: column of a grid's HTML; spans to the right over empty cells and down from tall ones."""
+def _cell(text: Column, across: Column, down: Column) -> Column:
+    return F.concat(F.lit("<td"), X.span_attributes(across, down), F.lit(">"), X.escape_html(text), F.lit("</td>"))
+
+
+def row_pitch(rows: Column) -> Column:
+    """The usual distance between neighbouring rows' tops: the upper median, 4 at least; 12 for fewer than two rows with text."""
+    tops = F.transform(F.filter(rows, lambda r: F.exists(r, lambda c: c["text"] != "")), lambda r: F.filter(r, lambda c: c["text"] != "")[0]["y"].cast("double"))
+    n = F.size(tops)
+    gaps = F.zip_with(F.slice(tops, 1, n - 1), F.slice(tops, 2, n - 1), lambda a, b: F.abs(a - b))
+    return F.when(n > 1, F.greatest(upper_median(gaps), F.lit(S.PITCH_FLOOR))).otherwise(F.lit(S.PITCH_DEFAULT))
 
-    @F.pandas_udf("string")
-    def run(header: pd.Series, rows: pd.Series, cols: pd.Series) -> pd.Series:
-        return pd.Series([_html(list(h), [list(r) for r in rs], int(c)) for h, rs, c in zip(header, rows, cols)])
 
-    return run(grids["header"], grids["rows"], grids["cols"])
+def to_html(grids: DataFrame) -> Column:
+    """GRD-9: column of a grid's HTML; spans to the right over empty cells and down from tall ones.
+
+    A cell goes down over as many rows as its height holds, and covers the
+    empty cells there. One that isn't covered is written if it has text, is the
+    row's first or follows a covered one; it goes right to the next that has
+    text or is covered.
+    """
+    d = F.struct(F.col("header").alias("header"), F.col("rows").alias("rows"), F.col("cols").cast("int").alias("cols"), row_pitch(F.concat(F.array("header"), F.col("rows"))).alias("pitch"))
+    zero, none = F.lit(0), F.lit("")
+
+    def head(g):
+        n = F.size(g["header"])
+        text = lambda i: g["header"][i]["text"]
+        starts = F.filter(F.sequence(zero, n - 1), lambda i: (i == 0) | (text(i) != ""))
+        return F.array_join(F.transform(starts, lambda i: _cell(text(i), _first(n, i + 1, lambda j: text(j) != "") - i, F.lit(1))), "")
+
+    def with_down(g):
+        tall = lambda c: (c["text"] != "") & (c["h"].cast("double") > g["pitch"] * S.SPAN_FACTOR)
+        down = lambda c, i: F.when(tall(c), F.greatest(F.lit(1), F.least(F.floor(c["h"].cast("double") / g["pitch"] + 0.5).cast("int"), F.size(g["rows"]) - i))).otherwise(F.lit(1))
+        rows = F.transform(g["rows"], lambda r, i: F.transform(r, lambda c: F.struct(c["text"].alias("t"), down(c, i).alias("d"))))
+        return F.struct(rows.alias("rows"), g["cols"].alias("cols"), head(g).alias("head"))
+
+    def with_cover(g):
+        most = F.array_max(F.transform(g["rows"], lambda r: F.array_max(F.transform(r, lambda c: c["d"]))))
+        above = lambda i, k: F.exists(F.sequence(F.greatest(zero, i - most + 1), i - 1), lambda u: (g["rows"][u][k]["t"] != "") & (u + g["rows"][u][k]["d"] > i))
+        hidden = lambda c, i, k: F.when((i > 0) & (most > 1) & (c["t"] == ""), above(i, k)).otherwise(F.lit(False))
+        rows = F.transform(g["rows"], lambda r, i: F.transform(r, lambda c, k: F.struct(c["t"].alias("t"), c["d"].alias("d"), hidden(c, i, k).alias("v"))))
+        return F.struct(rows.alias("rows"), g["cols"].alias("cols"), g["head"].alias("head"))
+
+    def body(g):
+        def row(r):
+            starts = F.filter(F.sequence(zero, g["cols"] - 1), lambda k: ~r[k]["v"] & ((k == 0) | (r[k]["t"] != "") | r[F.greatest(zero, k - 1)]["v"]))
+            stop = lambda j: (r[j]["t"] != "") | r[j]["v"]
+            return F.concat(F.lit("<tr>"), F.array_join(F.transform(starts, lambda k: _cell(r[k]["t"], _first(g["cols"], k + 1, stop) - k, r[k]["d"])), ""), F.lit("</tr>"))
+
+        return F.when(F.size(g["rows"]) > 0, F.array_join(F.transform(g["rows"], row), "")).otherwise(none)
+
+    # one-element arrays name what each step made, so that nothing is worked out twice
+    step = lambda made, then: F.transform(made, then)
+    g = step(step(F.array(d), with_down), with_cover)
+    return step(g, lambda v: F.concat(F.lit("<table><thead><tr>"), v["head"], F.lit("</tr></thead><tbody>"), body(v), F.lit("</tbody></table>")))[0]

@@ -146,3 +146,45 @@ def test_grids_plain(spark, image):
     name = "image_tables" if image else "grid_reconstruct"
     got = {r["doc_id"]: (r["cols"], r["n_rows"]) for r in catalog.QUERIES[name](spark, SF).collect()}
     assert got == want and len(want) > 20
+
+
+def plain_html(header, rows, cols):
+    """Cells written where nothing covers them, from a matrix of owners."""
+    esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    tops = [[c[1] for c in r if c[0]][0] for r in [header, *rows] if any(c[0] for c in r)]
+    pitch = max(upper([abs(a - b) for a, b in zip(tops, tops[1:])], 12.0), 4.0) if len(tops) > 1 else 12.0
+    covered = [[False] * cols for _ in rows]
+    down = [[1] * cols for _ in rows]
+    for i, r in enumerate(rows):
+        for k, (t, _, h) in enumerate(r):
+            if t and h > pitch * 1.5:
+                down[i][k] = max(1, min(int(h / pitch + 0.5), len(rows) - i))
+                for u in range(i + 1, i + down[i][k]):
+                    covered[u][k] |= not rows[u][k][0]
+
+    def line(texts, hidden, downs):
+        owner = []
+        for k, t in enumerate(texts):
+            owner.append(None if hidden[k] else k if t or k == 0 or hidden[k - 1] else owner[-1])
+        return "".join(f"<td{f' colspan={chr(34)}{owner.count(k)}{chr(34)}' * (owner.count(k) > 1)}{f' rowspan={chr(34)}{downs[k]}{chr(34)}' * (downs[k] > 1)}>{esc(texts[k])}</td>" for k in sorted({o for o in owner if o is not None}))
+
+    flat = [False] * cols
+    out = line([c[0] for c in header], flat, [1] * cols)
+    return f"<table><thead><tr>{out}</tr></thead><tbody>" + "".join(f"<tr>{line([c[0] for c in r], covered[i], down[i])}</tr>" for i, r in enumerate(rows)) + "</tbody></table>"
+
+
+def test_html_plain(spark):
+    import random
+
+    rng = random.Random(4)
+    grids = []
+    for n in range(150):
+        cols, height = rng.randrange(2, 6), rng.randrange(0, 7)
+        cell = lambda i: (rng.choice(["", "", "a", "b<", "c & d"]), float(20 * i + rng.randrange(3)), float(rng.choice([8, 10, 25, 45, 70])))
+        grids.append((n, cols, [cell(0) for _ in range(cols)], [[cell(i + 1) for _ in range(cols)] for i in range(height)]))
+    c = "struct<text:string,y:float,h:float>"
+    d = spark.createDataFrame(grids, f"n int, cols int, header array<{c}>, rows array<array<{c}>>")
+    got = {r["n"]: r["html"] for r in d.select("n", D.to_html(d).alias("html")).collect()}
+    for n, cols, header, rows in grids:
+        assert got[n] == plain_html(header, rows, cols), n
+    assert sum("rowspan" in h for h in got.values()) > 30
