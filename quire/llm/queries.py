@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embed_dedup, gam, hilbert, langid, lm_score, packing, pfor, simhash, token_count
-from .shared import table
+from .shared import few_rows, table
 
 
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +52,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.accept(docs, langid.fit(docs))
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        few_rows(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    """Each sets the session's bound of rows that Python gets at a time, see ``few_rows``."""
+    return {k: _bounded(v) for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:

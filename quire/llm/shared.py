@@ -102,10 +102,11 @@ class Frame:
         return df.select(*[F.col(f"c{i}") for i in keep], *[v.alias(f"n{i}") for i, v in enumerate(new.values())]).toDF(*[self.names[i] for i in keep], *new)
 
 
-def with_new(df: DataFrame, **new) -> DataFrame:
-    """Add columns; a column of the input whose name clashes (in any case) gives way."""
-    low = {k.lower() for k in new}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low], *[v.alias(k) for k, v in new.items()])
+def few_rows(spark: SparkSession, most: int = 2000) -> None:
+    """Hands Python ``most`` rows at a time from here on, unless the session has a bound of its own: texts are long, and a worker holds a batch more than once."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
