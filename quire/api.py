@@ -75,12 +75,14 @@ def _page_markdown(rows: DataFrame, grids: DataFrame, source: str) -> DataFrame:
     return one.select(*KEYS, F.lit(source).alias("source"), F.lit("pre_rendered").alias("kind"), F.lit(0).cast("long").alias("pos"), X.strip(F.col("segment")).alias("text"))
 
 
-def convert(files: DataFrame, request: Request = Request(), engine: OcrEngine | None = None, images: DataFrame | None = None) -> DataFrame:
+def convert(files: DataFrame, request: Request = Request(), engine: OcrEngine | None = None, images: DataFrame | None = None, last_tables: DataFrame | None = None) -> DataFrame:
     """(path, ord, markdown, error) for each row of (path, kind, content), see ``sources.files.list_documents``; ord by path unless given.
 
     ``engine`` recognises pages that have no usable text, and pages of a text
     PDF that look like tables; ``images`` (path, page_no, image) are theirs.
-    OFD pages that are one picture bring it along. Without an engine a PDF
+    OFD pages that are one picture bring it along. ``last_tables`` (path,
+    markdown) are what a table extractor found on the last pages of text PDFs;
+    they follow the page's lines where it shows those. Without an engine a PDF
     without usable text is an error of kind runtime. A document that can't be
     read is an error row, and never fails the job. Contents are read once.
     """
@@ -121,6 +123,9 @@ def convert(files: DataFrame, request: Request = Request(), engine: OcrEngine |
 
     text_grids = cut(pdf_grids.unionByName(ofd_grids))
     out = pdf_body.unionByName(ofd_body).select(*KEYS, "source", F.lit("body").alias("kind"), F.col("pos").cast("long").alias("pos"), "text")
+    if last_tables is not None:
+        probed = R.last_page_tables(last_tables, regions, "path", "page_no").join(out.where("source = 'pdf'").select(*KEYS).distinct(), KEYS, "left_semi")
+        out = out.unionByName(probed.select(*KEYS, F.lit("pdf").alias("source"), F.lit("pre_rendered").alias("kind"), F.lit(0).cast("long").alias("pos"), "text"))
     grids, waiting = text_grids, None
     if engine is not None:
         # RTE-14: pages that look like tables and have no grid; only those that recognition finds a table on change

@@ -193,10 +193,9 @@ def plan(have: np.ndarray) -> Plan:
     return Plan(key, b, o, n_bins)
 
 
-def _spread(rows: DataFrame, times: str, block: int = 1 << 16) -> DataFrame:
-    """Each row ``times`` times, with ``copy`` from 0. A row of very many goes to several tasks, a block to each."""
-    many = (rows.agg(F.max(times)).first()[0] or 0) > block
-    if many:
+def _spread(rows: DataFrame, times: str, most: int, block: int = 1 << 16) -> DataFrame:
+    """Each row ``times`` times (``most`` at most), with ``copy`` from 0. A row of very many goes to several tasks, a block to each."""
+    if most > block:
         rows = rows.withColumn("block", F.explode(F.expr(f"sequence(0L, ({times} - 1) div {block})"))).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         last = f"least({times} - block * {block}, {block}) - 1"
         return rows.withColumn("copy", F.explode(F.expr(f"sequence(block * {block}, block * {block} + {last})"))).drop("block")
@@ -227,14 +226,15 @@ def pack_lengths(lengths: DataFrame, capacity: int = 2048) -> DataFrame:
     d, _ = cut(lengths.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("times")))
     full, rest = F.expr(f"greatest(n, 0) div {capacity}"), F.expr(f"cast(greatest(n, 0) % {capacity} as int)")
     d = d.select("doc_id", "n", "times", full.alias("full"), rest.alias("rest"))
-    seen = {r["rest"]: r["m"] for r in d.where("rest > 0").groupBy("rest").agg(F.sum("times").alias("m")).collect()}
-    n_full, long = d.where("full > 0").agg(F.sum(F.col("times") * F.col("full")), F.count("*")).first()
+    seen = d.groupBy("rest").agg(F.sum("times").alias("m"), F.sum(F.col("times") * F.col("full")).alias("whole"), F.count_if(F.col("full") > 0).alias("long"), F.max("times").alias("most")).collect()
+    most = max((r["most"] for r in seen), default=0)
+    n_full, long = sum(r["whole"] for r in seen), sum(r["long"] for r in seen)
     have = np.zeros(capacity + 1, np.int64)
-    for x, m in seen.items():
-        have[x] = m
+    for r in seen:
+        have[r["rest"]] = r["m"] if r["rest"] else 0
     made = plan(have)
-    parts = {x: -(-m // PART) for x, m in seen.items()}
-    parts[0] = -(-(long or 0) // PART) or 1
+    parts = {x: -(-int(m) // PART) for x, m in enumerate(have) if m}
+    parts[0] = max(1, -(-long // PART))
 
     def parted(rows: DataFrame, length: Column) -> DataFrame:
         """Adds the part: of as many as the length has."""
@@ -247,18 +247,22 @@ def pack_lengths(lengths: DataFrame, capacity: int = 2048) -> DataFrame:
         return rows.withColumn("rn", F.sum(amount).over(upto) - F.col(amount))
 
     def before(rows: DataFrame, amount: str) -> dict[tuple[int, int], int]:
-        return _offsets({(r["length"], r["part"]): r["m"] for r in rows.groupBy("length", "part").agg(F.sum(amount).alias("m")).collect()})
+        """Where the parts of the lengths that have several begin; the others begin at 0."""
+        several = [x for x, k in parts.items() if k > 1]
+        if not several:
+            return {}
+        return _offsets({(r["length"], r["part"]): r["m"] for r in rows.where(F.col("length").isin(several)).groupBy("length", "part").agg(F.sum(amount).alias("m")).collect()})
 
     out = ("doc_id", "piece", "start", "length", "sequence", "position")
     # full pieces: sequences from 0 on
     w = parted(d.where("full > 0").withColumn("length", F.lit(0)).withColumn("amount", F.col("times") * F.col("full")), F.lit(0))
     sums = before(w, "amount")
     base = F.get(F.array(*[F.lit(int(sums.get((0, q), 0))).cast("bigint") for q in range(parts[0])]), F.col("part"))
-    w = _spread(ranked(w, "amount").withColumn("base", base), "times")
+    w = _spread(ranked(w, "amount").withColumn("base", base), "times", most)
     w = w.withColumn("piece", F.explode(F.expr("sequence(0, cast(full - 1 as int))")))
     whole = w.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.lit(capacity).alias("length"), (F.col("base") + F.col("rn") + F.col("copy") * F.col("full") + F.col("piece")).alias("sequence"), F.lit(0).alias("position"))
     # rests: sequences of the plan, after those
-    first = int(n_full or 0)
+    first = int(n_full)
     v = parted(d.where("rest > 0").withColumn("length", F.col("rest")), F.col("length"))
     sent = spark.sparkContext.broadcast((made, before(v, "times")))
 
@@ -266,13 +270,13 @@ def pack_lengths(lengths: DataFrame, capacity: int = 2048) -> DataFrame:
         made, sums = sent.value
         x, q, r = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (length, part, rank))
         key, inv = np.unique((x << 32) | q, return_inverse=True)
-        off = np.array([sums[k >> 32, k & 0xFFFFFFFF] for k in key.tolist()], np.int64)
+        off = np.array([sums.get((k >> 32, k & 0xFFFFFFFF), 0) for k in key.tolist()], np.int64)
         b, o = made.place(x, r + off[inv]) if len(x) else (x, x)
         return pa.StructArray.from_arrays([pa.array(b + first), pa.array(o.astype(np.int32))], names=["b", "o"])
 
-    v = _spread(ranked(v, "times"), "times").withColumn("at", arrow(run, "struct<b:bigint,o:int>")(F.col("length"), F.col("part"), F.col("rn") + F.col("copy")))
+    v = _spread(ranked(v, "times"), "times", most).withColumn("at", arrow(run, "struct<b:bigint,o:int>")(F.col("length"), F.col("part"), F.col("rn") + F.col("copy")))
     some = v.select("doc_id", F.col("full").cast("int").alias("piece"), (F.col("full") * capacity).alias("start"), "length", F.col("at.b").alias("sequence"), F.col("at.o").alias("position"))
-    none = _spread(d.where("n <= 0"), "times").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("length"), F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("int").alias("position"))
+    none = _spread(d.where("n <= 0"), "times", most).select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).alias("length"), F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("int").alias("position"))
     return whole.unionByName(some).unionByName(none).select(*out)
 
 

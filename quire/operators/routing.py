@@ -93,6 +93,13 @@ def suspicious_pages(items: DataFrame, available: DataFrame, keys: list[str], li
     return columns.tabular_pages(items, keys, line).where("tabular").select(*keys).join(available.select(*keys).distinct(), keys, "left_semi")
 
 
+def last_page_tables(probed: DataFrame, pages: DataFrame, doc: str, page: str, text: str = "markdown") -> DataFrame:
+    """RTE-15: (doc, page, text): what a table probe found on each document's last page, for those that found anything."""
+    last = pages.groupBy(doc).agg(F.max(page).alias(page))
+    t = X.strip(F.col(text))
+    return probed.select(doc, t.alias("__t")).where("__t <> ''").join(last, doc).select(doc, page, F.concat(F.lit("\n"), "__t", F.lit("\n")).alias("text"))
+
+
 def confirmed_tables(elements: DataFrame, keys: list[str]) -> DataFrame:
     """RTE-14, AGG-14: (keys) of the recognised pages on which the layout has a table."""
     return elements.groupBy(*keys).agg(F.bool_or(F.col("element_type") == "table").alias("__t")).where("__t").select(*keys)

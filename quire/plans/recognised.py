@@ -68,6 +68,12 @@ def suspicious_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.suspicious_pages(A.table(spark, sf_dir, "lineitem").selectExpr(*_CROWDED), A.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 600 as doc_id").where("doc_id % 2 = 0"), _KEY)
 
 
+@query(f"with m as (select user_id, max(event_id) as event_id from events group by user_id) select c.conv_id as user_id, event_id, chr(10) || {_strip('c.text')} || chr(10) as text from conversations c join m on m.user_id = c.conv_id where c.turn = 0 and {_strip('c.text')} <> ''")
+def last_page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probed = A.table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("user_id"), "text")
+    return R.last_page_tables(probed, A.table(spark, sf_dir, "events"), "user_id", "event_id", "text")
+
+
 @query("select l_orderkey as doc_id from lineitem group by l_orderkey having count(*) filter (where l_returnflag = 'R') > 0")
 def table_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as doc_id", "case when l_returnflag = 'R' then 'table' else 'text' end as element_type")
@@ -150,6 +156,13 @@ def timing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.timing_report(A.table(spark, sf_dir, "events").where("value is not null").withColumn("value", F.floor("value").cast("double")), "user_id", "event_type", "value", ["click", "view"])
 
 
+@query()
+def sequence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MET-3, MET-9: matching blocks have no SQL; the tests hold the scores against known ones."""
+    d = A.table(spark, sf_dir, "pages").select("page_id", M.sequence_scores(F.col("url"), F.substring("html", 1, 60)).alias("s"))
+    return d.select("page_id", "s.*")
+
+
 # ---- blocks ---------------------------------------------------------------------------------------------------------
 
 #: Layout of each order: three boxes with an order on every second page, and two of noise.

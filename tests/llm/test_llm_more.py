@@ -263,7 +263,7 @@ def test_pack_hot_rows(spark, monkeypatch):
     monkeypatch.setattr(packing, "PART", 7)
     d = spark.createDataFrame([(None, 150)] * 200 + [(1, 64)] * 90 + [(i, i % 70) for i in range(100)], "doc_id bigint, n int")
     lengths = d.select("doc_id", F.col("n").cast("bigint").alias("n"))
-    monkeypatch.setattr(packing, "_spread", lambda rows, times, f=packing._spread: f(rows, times, 16))
+    monkeypatch.setattr(packing, "_spread", lambda rows, times, most, f=packing._spread: f(rows, times, most, 16))
     rows = packing.pack_lengths(lengths, 64).collect()
     fill: dict = {}
     for r in rows:
