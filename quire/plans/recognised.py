@@ -63,9 +63,9 @@ _CROWDED = ["l_orderkey % 600 as doc_id", "cast(l_linenumber as integer) as line
 
 
 @query(f"""with t as (select {', '.join(_CROWDED)} from lineitem), g as (select *, lag(x + width) over (partition by doc_id, line_no order by x, item_idx) as e, max(x + width) over (partition by doc_id) as pw from t),
-    s as (select doc_id, line_no, count(*) filter (where x - e > pw * 0.01) + 1 as s from g group by doc_id, line_no) select doc_id from s where doc_id % 2 = 0 group by doc_id having count(*) filter (where s >= 3) >= 3""")
+    s as (select doc_id, line_no, count(*) filter (where x - e > pw * 0.01) + 1 as s from g group by doc_id, line_no) select doc_id from s where doc_id in (select o_orderkey % 600 from orders where o_orderpriority = '1-URGENT') group by doc_id having count(*) filter (where s >= 3) >= 3""")
 def suspicious_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.suspicious_pages(A.table(spark, sf_dir, "lineitem").selectExpr(*_CROWDED), A.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 600 as doc_id").where("doc_id % 2 = 0"), _KEY)
+    return R.suspicious_pages(A.table(spark, sf_dir, "lineitem").selectExpr(*_CROWDED), A.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_orderkey % 600 as doc_id"), _KEY)
 
 
 @query(f"with m as (select user_id, max(event_id) as event_id from events group by user_id) select c.conv_id as user_id, event_id, chr(10) || {_strip('c.text')} || chr(10) as text from conversations c join m on m.user_id = c.conv_id where c.turn = 0 and {_strip('c.text')} <> ''")
@@ -158,8 +158,8 @@ def timing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sequence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET-3, MET-9: matching blocks have no SQL; the tests hold the scores against known ones."""
-    d = A.table(spark, sf_dir, "pages").select("page_id", M.sequence_scores(F.col("url"), F.substring("html", 1, 60)).alias("s"))
+    """MET-3, MET-9: matching blocks have no SQL; the tests hold the scores against a plain version."""
+    d = A.table(spark, sf_dir, "pages").select("page_id", M.sequence_scores(F.col("url"), F.col("html")).alias("s"))
     return d.select("page_id", "s.*")
 
 
@@ -172,10 +172,10 @@ _E = f"e as (select o_orderkey as doc_id, {_EL.format('case when o_orderkey % 2
 _BLOCKS = "(values (0, 2, [0, 3]), (1, 1, [2, 1]), (2, cast(null as integer), [0])) as v(rb_idx, order_index, element_indices)"
 
 
-def _elements(spark, sf_dir):
+def _elements(spark, sf_dir, ordered="doc_id % 2 = 0"):
     v = spark.sql(f"select {_EL.format('order_index')} from {_ELEMENTS}")
     d = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")).crossJoin(F.broadcast(v))
-    return d.withColumn("order_index", F.when(F.col("doc_id") % 2 == 0, F.col("order_index")))
+    return d.withColumn("order_index", F.when(F.expr(ordered), F.col("order_index")))
 
 
 def _region_blocks(spark, sf_dir):
@@ -218,15 +218,23 @@ def _last_resort(source: str) -> str:
     ro as (select q2.doc_id, cast(row_number() over (partition by q2.doc_id order by case when split is null or page_w <= 0 then 0 when not fw then case when cx < split then 1 else 2 end when y_min < top then 0 when y_min > bottom then 4 else 3 end, y_min, region_idx) as integer) as pos, text as line from q2 left join q7 on q7.doc_id = q2.doc_id left join q8 on q8.doc_id = q2.doc_id)"""
 
 
-@query(f"with {A.REGIONS}, {_RANKED}, {_assembled('r')} select doc_id, block_rank, pos, line from para where doc_id % 2 = 0")
+def _alike(sql: str, ordered: bool) -> str:
+    """The CTEs with every page taken as one of an order, or as one of none."""
+    yes, no = ("true", "false") if ordered else ("false", "true")
+    sql = sql.replace("case when o_orderkey % 2 = 0 then order_index end", "order_index" if ordered else "cast(null as integer)")
+    for page in ("e.doc_id", "n.doc_id", "doc_id"):
+        sql = sql.replace(f" {page} % 2 = 0", f" {yes}").replace(f" {page} % 2 = 1", f" {no}")
+    return sql
+
+
+@query(f"with {A.REGIONS}, {_alike(_RANKED, True)}, {_alike(_assembled('r'), True)} select doc_id, block_rank, pos, line from para")
 def block_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.assemble(A.regions(spark, sf_dir).where("doc_id % 2 = 0"), _elements(spark, sf_dir), _KEY)
+    return B.assemble(A.regions(spark, sf_dir), _elements(spark, sf_dir, "true"), _KEY)
 
 
-@query(f"with {A.REGIONS}, {_RANKED}, {_assembled('r')}, {_last_resort('r')} select doc_id, block_rank, pos, line from para where doc_id % 2 = 1 union all select doc_id, 0, pos, line from ro")
+@query(f"with {A.REGIONS}, {_alike(_RANKED, False)}, {_alike(_assembled('r'), False)}, {_alike(_last_resort('r'), False)} select doc_id, block_rank, pos, line from para union all select doc_id, 0, pos, line from ro")
 def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = lambda d: d.where("doc_id % 2 = 1")
-    return B.fallback_order(odd(A.regions(spark, sf_dir)), odd(_elements(spark, sf_dir)), odd(_region_blocks(spark, sf_dir)), _KEY)
+    return B.fallback_order(A.regions(spark, sf_dir), _elements(spark, sf_dir, "false"), _region_blocks(spark, sf_dir), _KEY)
 
 
 #: half of the regions are tall and narrow
@@ -349,10 +357,10 @@ def grid_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", "cols", "has_header", text(F.col("header")).alias("header"), text(F.flatten("rows")).alias("body"))
 
 
-_H, _B = "string_split(substr(text, 1, 24) || case when doc_id % 7 = 0 then '编号' else '' end, ' ')", "string_split(substr(text, 25, 200), ' ')"
+_H, _B = "string_split(split_part(text, chr(10), 1) || case when doc_id % 7 = 0 then '编号' else '' end, ' ')", "string_split(text, '.')"
 
 
 @query(f"select doc_id, {_is_header(_H, _B)} as header from documents")
 def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.split(F.concat(F.substring("text", 1, 24), F.when(F.col("doc_id") % 7 == 0, "编号").otherwise("")), " ")
-    return A.table(spark, sf_dir, "documents").select("doc_id", D.is_header(h, F.split(F.substring("text", 25, 200), " ")).alias("header"))
+    h = F.split(F.concat(F.split_part("text", F.lit("\n"), F.lit(1)), F.when(F.col("doc_id") % 7 == 0, "编号").otherwise("")), " ")
+    return A.table(spark, sf_dir, "documents").select("doc_id", D.is_header(h, F.split("text", r"\.")).alias("header"))

@@ -75,6 +75,15 @@ def test_pdf_table_and_furniture(spark):
     assert got["b.pdf"][0].startswith("<table><thead><tr><td>ID</td><td>Name</td><td>Sum</td></tr></thead>")
 
 
+def test_last_page_tables(spark):
+    docs = {"two.pdf": b.pdf([LINES, [(50, 700, "Last page of the text layer.")]]), "none.pdf": b.pdf([LINES]), "t.ofd": b.ofd([b.ofd_text(20, 35, "kept line")])}
+    probed = spark.createDataFrame([("two.pdf", " | a | b |\n"), ("none.pdf", " \u3000\n"), ("t.ofd", "| no |"), ("gone.pdf", "| x |")], "path string, markdown string")
+    got, plain = run(spark, docs, last_tables=probed), run(spark, docs)
+    assert got["none.pdf"] == plain["none.pdf"] and got["t.ofd"] == plain["t.ofd"] and set(got) == set(docs)
+    text, found = plain["two.pdf"][0], got["two.pdf"][0]
+    assert found.count("| a | b |") == 1 and found.replace("| a | b |", "").split() == text.split()
+
+
 def test_engine_and_retry(spark):
     box = lambda t, y, c: {"x_min": 10.0, "x_max": 90.0, "y_min": float(y), "y_max": y + 10.0, "text": t, "confidence": c}
     rec = {("tiny", "s.pdf", 1): [box("bad", 10, 0.2)], ("small", "s.pdf", 1): [box("b)", 10, 0.9), box("good", 30, 0.9)], ("tiny", "i.ofd", 0): [box("scan", 10, 0.9)]}

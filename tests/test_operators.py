@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -160,6 +161,23 @@ def test_sequence_scores(spark):
     assert got[0]["cer"] == 0.25 and got[0]["ratio"] == 0.75 and got[2]["f1"] == 1.0 and got[1]["recall"] == 1.0
 
 
+def test_sequence_scores_plain(spark):
+    """Ratio and recall against all common runs tried in turn, on texts too short for any letter to be common."""
+
+    def same(a, b):
+        n, i, j = max(((n, -i, -j) for i in range(len(a)) for j in range(len(b)) for n in range(1, min(len(a) - i, len(b) - j) + 1) if a[i : i + n] == b[j : j + n]), default=(0, 0, 0))
+        return n and n + same(a[:-i], b[:-j]) + same(a[-i + n :], b[-j + n :])
+
+    r = random.Random(4)
+    pairs = [tuple("".join(r.choices("abc ", k=r.randrange(12))) for _ in "xy") for _ in range(60)]
+    d = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for i, s in d.select("i", M.sequence_scores(F.col("a"), F.col("b"))).collect():
+        a, b = pairs[i]
+        m = same(a, b)
+        assert s["ratio"] == pytest.approx(2 * m / (len(a) + len(b)) if a or b else 1.0)
+        assert s["ratio"] == 1.0 or s["cer"] * max(1, len(a)) >= max(len(a), len(b)) - m - 1e-9
+
+
 def test_errors(spark):
     d = spark.createDataFrame([("render", 3, "runtime", "x"), ("render", None, "odd", "x")], "s string, p int, k string, d string")
     rows = d.where("k = 'runtime'").select(R.error_text(F.col("s"), F.col("p"), F.col("k"), F.col("d")).alias("t")).collect()
