@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import geometry as G
 from ..functions import text as X
+from ..staging import spread
 
 
 def with_page_width(regions: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-2, FLT-8: adds page_w, cx and full (spans the page)."""
+    (regions,) = spread(keys, regions)
     w = F.greatest(F.max("x_max").over(W.partitionBy(*keys)), F.lit(0))
     d = regions.withColumn("page_w", w).withColumn("cx", G.center(F.col("x_min"), F.col("x_max")))
     return d.withColumn("full", G.is_full_width(F.col("x_min"), F.col("x_max"), F.col("page_w")))
@@ -71,6 +73,7 @@ def vertical_columns(regions: DataFrame, keys: list[str]) -> DataFrame:
     is an ``aggregate`` inside the JVM; pages are bounded.
     """
     page = W.partitionBy(*keys)
+    (regions,) = spread(keys, regions)
     d = regions.withColumn("__pw", F.greatest(F.max("x_max").over(page), F.lit(0)))
     w = F.col("x_max") - F.col("x_min")
     w1 = F.greatest(w, F.lit(1.0))
@@ -113,6 +116,7 @@ def gutter(items: DataFrame, keys: list[str], line: str = "line_no") -> DataFram
     the largest wins, the last on a tie.
     """
     at = W.partitionBy(*keys, line).orderBy("x", "item_idx")
+    (items,) = spread(keys, items)
     d = items.withColumn("__pw", F.max(F.col("x") + F.col("width")).over(W.partitionBy(*keys)))
     d = d.withColumn("__end", F.lag(F.col("x") + F.col("width")).over(at))
     cand = F.when((F.col("x") - F.col("__end")) > F.col("__pw") * S.GUTTER_GAP, F.struct((F.col("x") - F.col("__end")).alias("gap"), (-F.col("item_idx")).alias("i"), ((F.col("x") + F.col("__end")) / 2).alias("mid")))
@@ -140,6 +144,7 @@ def split_lines(items: DataFrame, gutters: DataFrame, keys: list[str], line: str
     """ORD-12: adds ``part`` (0 or 1): lines cut at the gap above 1% of the page that is nearest to the gutter."""
     at = W.partitionBy(*keys, line).orderBy("x", "item_idx")
     whole = W.partitionBy(*keys, line)
+    items, gutters = spread(keys, items, gutters)
     d = items.join(gutters, keys, "left").withColumn("__pw", F.max(F.col("x") + F.col("width")).over(W.partitionBy(*keys)))
     d = d.withColumn("__end", F.lag(F.col("x") + F.col("width")).over(at))
     mid = (F.col("x") + F.col("__end")) / 2
@@ -152,6 +157,7 @@ def split_lines(items: DataFrame, gutters: DataFrame, keys: list[str], line: str
 def tabular_pages(items: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:
     """FLT-11: (keys, tabular): pages of three lines at least with three segments at least."""
     at = W.partitionBy(*keys, line).orderBy("x", "item_idx")
+    (items,) = spread(keys, items)
     d = items.withColumn("__pw", F.max(F.col("x") + F.col("width")).over(W.partitionBy(*keys)))
     d = d.withColumn("__end", F.lag(F.col("x") + F.col("width")).over(at))
     segs = d.groupBy(*keys, line).agg((F.count_if(F.col("x") - F.col("__end") > F.col("__pw") * S.LINE_GAP) + 1).alias("s"))

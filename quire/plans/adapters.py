@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lines as L
+from ..staging import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +47,14 @@ REGION_COLUMNS = [
 REGIONS = f"r as (select {', '.join(REGION_COLUMNS)} from lineitem)"
 
 
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's rows in one task, as their numbering and all that follows by page want them."""
+    (d,) = spread(["l_orderkey"], table(spark, sf_dir, "lineitem"))
+    return d
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*REGION_COLUMNS)
+    return lineitem(spark, sf_dir).selectExpr(*REGION_COLUMNS)
 
 
 #: CTE of layout boxes, three on each page, and noise boxes.
@@ -92,4 +99,4 @@ ITEMS = f"t as (select {', '.join(_ITEM)} from lineitem)"
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_ITEM)
+    return lineitem(spark, sf_dir).selectExpr(*_ITEM)

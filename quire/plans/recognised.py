@@ -325,7 +325,7 @@ _TOLERANCE = f"""{_SPREAD}, big as (select doc_id from r group by doc_id having
 
 
 def _spread(spark, sf_dir):
-    return A.table(spark, sf_dir, "lineitem").selectExpr(*[c.replace("cast(l_linenumber * 20", "cast(l_linenumber * (10 + l_orderkey % 4 * 6)") for c in A.REGION_COLUMNS])
+    return A.lineitem(spark, sf_dir).selectExpr(*[c.replace("cast(l_linenumber * 20", "cast(l_linenumber * (10 + l_orderkey % 4 * 6)") for c in A.REGION_COLUMNS])
 
 
 @query(f"with {_TOLERANCE} select doc_id, pw as page_w, row_tol from q2t")
