@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geometry as G
+from ..staging import spread
 from . import columns, lines
 
 
 def page_scale(regions: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-3: (keys, tw, th, lw, lh): the largest coordinates of a page's text and layout."""
+    regions, boxes = spread(keys, regions.select(*keys, "x_max", "y_max"), boxes.select(*keys, "x_max", "y_max"))
     t = regions.groupBy(*keys).agg(F.max("x_max").alias("tw"), F.max("y_max").alias("th"))
     b = boxes.groupBy(*keys).agg(F.max("x_max").alias("lw"), F.max("y_max").alias("lh"))
     return t.join(b, keys)
@@ -36,17 +38,24 @@ def claim(regions: DataFrame, boxes: DataFrame, keys: list[str], scale: DataFram
 
     With ``scale`` (see page_scale) text and layout are compared as shares of their page maxima.
     """
-    b = _prefixed(boxes, keys, "block_rank")
-    d = regions
+    regions, boxes = spread(keys, regions, boxes)
+    at = boxes.groupBy(*keys).agg(F.collect_list(F.struct("block_rank", "x_min", "x_max", "y_min", "y_max")).alias("__boxes"))
+    d = regions.join(at, keys, "left")
+    cx, cy = G.center(F.col("x_min"), F.col("x_max")), F.col("y_min")
+    sides = lambda b: (b["x_min"], b["x_max"], b["y_min"], b["y_max"])
     if scale is not None:
-        d = d.join(scale, keys, "left")
-    j = d.select(*keys, "region_idx", G.center(F.col("x_min"), F.col("x_max")).alias("__cx"), F.col("y_min").alias("__cy"), *(["tw", "th", "lw", "lh"] if scale is not None else []))
-    first = j.join(b, _on(keys, F.col("__cx"), F.col("__cy"), scale is not None)).groupBy(*keys, "region_idx").agg(F.min("__block_rank").alias("block_rank"))
-    return regions.join(first, [*keys, "region_idx"], "left")
+        d = d.join(scale.select(*keys, *[F.col(c).alias(f"__{c}") for c in ("tw", "th", "lw", "lh")]), keys, "left")
+        holds = lambda b: G.inside(cx, cy, tuple(F.col(f"__{c}") for c in ("tw", "th", "lw", "lh")), sides(b))
+    else:
+        holds = lambda b: (cx >= b["x_min"]) & (cx <= b["x_max"]) & (cy >= b["y_min"]) & (cy <= b["y_max"])
+    rank = F.array_min(F.transform(F.filter("__boxes", holds), lambda b: b["block_rank"]))
+    first = [*keys, "region_idx"]
+    return d.select(*first, *[c for c in regions.columns if c not in first], rank.alias("block_rank"))
 
 
 def outside(regions: DataFrame, boxes: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
     """JN-3, FLT-10: the regions whose centre is in none of the boxes."""
+    regions, boxes = spread(keys, regions, boxes)
     b = _prefixed(boxes, keys)
     d = regions
     if scale is not None:
@@ -63,6 +72,7 @@ def block_order(elements: DataFrame, keys: list[str]) -> DataFrame:
 
 def _outside_top(regions: DataFrame, boxes: DataFrame, keys: list[str], scale: DataFrame) -> DataFrame:
     """The regions whose (centre x, top) is in none of the boxes."""
+    regions, boxes = spread(keys, regions, boxes)
     d = regions.join(scale, keys, "left")
     return d.join(_prefixed(boxes, keys), _on(keys, G.center(F.col("x_min"), F.col("x_max")), F.col("y_min"), True), "left_anti").select(*regions.columns)
 
