@@ -15,6 +15,13 @@ def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return docs.select(F.col(key), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
+def line_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, a, b): each line but the last and the one after it, where they lie: without a shuffle."""
+    lines = F.split(F.col(text), "\n")
+    d = docs.select(F.col(key), lines.alias("__l")).select(key, "__l", F.posexplode(F.slice("__l", 2, F.greatest(F.size("__l") - 1, F.lit(0)))).alias("line_no", "b"))
+    return d.select(key, "line_no", F.get("__l", F.col("line_no")).alias("a"), "b")
+
+
 def _joined(df: DataFrame, keys: list[str], order: list[str], line: str, sep: str, names: tuple[str, str]) -> DataFrame:
     """One row for each run ``__run``: its first order value and its lines end to end."""
     rows = F.array_sort(F.collect_list(F.struct(*order, line)))

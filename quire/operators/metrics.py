@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import add
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,10 @@ def timing_report(df: DataFrame, page: str, stage: str, ms: str, stages: list[st
     return p.select(F.lit(0).alias("part"), F.col(page).cast("string").alias("key"), each.alias("line")).unionByName(q.select(F.lit(1).alias("part"), F.col(stage).alias("key"), total.alias("line")))
 
 
+def _recall(a: set, b: set) -> float:
+    return len(a & b) / max(1, len(a))
+
+
 def charset_recall(truth: Column, found: Column) -> Column:
     """MET-1"""
     chars = lambda c: F.array_distinct(F.filter(F.split(X.normalized(c), ""), lambda x: x != ""))
@@ -53,9 +59,41 @@ def term_scores(truth: Column, found: Column, pattern: str = rf"[{X.CJK}]{{4,}}"
     return r, p, F.when(r + p > 0, 2 * r * p / (r + p)).otherwise(F.lit(0.0))
 
 
+def _grams(text: str, most: int) -> list[set]:
+    """The sets of n-grams of ``text`` for n from 1 to ``most``."""
+    now, sets = list(text), []
+    for n in range(1, most + 1):
+        if n > 1:
+            now = list(map(add, now, text[n - 1 :]))  # each with the sign that follows it
+        sets.append(set(now))
+    return sets
+
+
+def ngram_recalls(truth: Column, found: Column, most: int) -> Column:
+    """MET-5: array of the recalls of n-grams for n from 1 to ``most``.
+
+    A text that was the found one of the row before, as in rows of neighbouring
+    lines, is cut once.
+    """
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, last, made = [], None, []
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append([None] * most)
+                continue
+            own = made if x == last else _grams(x, most)
+            last, made = y, _grams(y, most)
+            out.append(list(map(_recall, own, made)))
+        return pd.Series(out, dtype="object")
+
+    return run(truth, found)
+
+
 def ngram_recall(truth: Column, found: Column, n: int) -> Column:
     """MET-5"""
-    return X.set_recall(X.ngrams(truth, n), X.ngrams(found, n))
+    return F.element_at(ngram_recalls(truth, found, n), n)
 
 
 def error_rate(truth: Column, found: Column) -> Column:

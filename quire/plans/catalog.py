@@ -559,8 +559,7 @@ _PAIRS = "q as (select doc_id, line_no, line as a, lead(line) over (partition by
 
 
 def _pairs(spark, sf_dir):
-    w = W.partitionBy("doc_id").orderBy("line_no")
-    return A.document_lines(spark, sf_dir).select("doc_id", "line_no", F.col("line").alias("a"), F.lead("line").over(w).alias("b")).where("b is not null")
+    return L.line_pairs(A.table(spark, sf_dir, "documents"))
 
 
 def _norm(c: str) -> str:
@@ -583,7 +582,8 @@ def _gram_recall(n):
 
 @query(f"with {A.LINES}, {_PAIRS} select doc_id, line_no, {_gram_recall(1)} as r1, {_gram_recall(2)} as r2, {_gram_recall(3)} as r3 from q where b is not null")
 def ngram_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("doc_id", "line_no", *[M.ngram_recall(F.col("a"), F.col("b"), n).alias(f"r{n}") for n in (1, 2, 3)])
+    d = _pairs(spark, sf_dir).select("doc_id", "line_no", M.ngram_recalls(F.col("a"), F.col("b"), 3).alias("r"))
+    return d.select("doc_id", "line_no", *[F.get("r", F.lit(n - 1)).alias(f"r{n}") for n in (1, 2, 3)])
 
 
 @query(f"with {A.LINES}, {_PAIRS}, s as (select doc_id, line_no, list_distinct(regexp_extract_all(a, '[a-z]{{4,}}')) as x, list_distinct(regexp_extract_all(b, '[a-z]{{4,}}')) as y from q where b is not null), t as (select doc_id, line_no, len(list_intersect(x, y)) / greatest(len(x), 1) as recall, len(list_intersect(x, y)) / greatest(len(y), 1) as precision from s) select *, case when recall + precision > 0 then 2 * recall * precision / (recall + precision) else 0 end as f1 from t")
