@@ -11,22 +11,25 @@ FULL = "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(
 HALF = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
 NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+#: What Unicode calls White_Space, as \\p{IsWhite_Space} does.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CJK = "一-鿿"
 CN = "一二三四五六七八九十"
+TITLE_WORDS = ("ABSTRACT", "INTRODUCTION", "REFERENCES", "REFERENCE")
 NUMBERING = rf"(?s)^(?:([0-9]+(?:\.[0-9]+)*)|（[{CN}]+[）)]?|[{CN}]+[）)]?|\([0-9]+\)|（[0-9]+）)[\p{{IsWhite_Space}}]*[.、．]?[\p{{IsWhite_Space}}]*(.*)$"
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any script at both ends (Spark's trim only knows the blank)."""
-    return F.regexp_replace(c, r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$", "")
+    """Without white space of any script at both ends (Spark's trim alone only knows the blank)."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\p{IsWhite_Space}]+", "")
+    return F.ltrim(c, F.lit(WHITE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\p{IsWhite_Space}]+$", "")
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def half_width(c: Column) -> Column:
@@ -46,12 +49,18 @@ def title_level(c: Column) -> Column:
     digits = F.regexp_extract(t, NUMBERING, 1)
     dots = F.length(digits) - F.length(F.replace(digits, F.lit("."), F.lit("")))
     return (
-        F.when(F.upper(t).isin("ABSTRACT", "INTRODUCTION", "REFERENCES", "REFERENCE"), F.lit(2))
+        F.when(F.upper(t).isin(*TITLE_WORDS), F.lit(2))
         .when(rest != "", F.least(F.lit(6), F.greatest(F.lit(2), dots + 2)))
         .cast("int")
     )
 
 
+def is_title(c: Column) -> Column:
+    """Whether there is a title_level, without working it out."""
+    t = strip(c)
+    return F.coalesce(F.upper(t).isin(*TITLE_WORDS) | (strip(F.regexp_extract(t, NUMBERING, 2)) != ""), F.lit(False))
+
+
 def is_marked(c: Column) -> Column:
     """The line already is a Markdown heading."""
     return lstrip(c).startswith("#")

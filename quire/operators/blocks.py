@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geometry as G
+from ..functions.arrays import let, some
 from ..staging import spread
 from . import columns, lines
 
+_SIDES = ("x_min", "x_max", "y_min", "y_max")
+
 
 def page_scale(regions: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-3: (keys, tw, th, lw, lh): the largest coordinates of a page's text and layout."""
@@ -70,23 +73,71 @@ def block_order(elements: DataFrame, keys: list[str]) -> DataFrame:
     return elements.where(~F.col("element_type").isin(*S.NOISE_TYPES)).withColumn("block_rank", F.row_number().over(w))
 
 
-def _outside_top(regions: DataFrame, boxes: DataFrame, keys: list[str], scale: DataFrame) -> DataFrame:
-    """The regions whose (centre x, top) is in none of the boxes."""
-    regions, boxes = spread(keys, regions, boxes)
-    d = regions.join(scale, keys, "left")
-    return d.join(_prefixed(boxes, keys), _on(keys, G.center(F.col("x_min"), F.col("x_max")), F.col("y_min"), True), "left_anti").select(*regions.columns)
+def _pages(keys: list[str], regions: DataFrame, elements: DataFrame, region_blocks: DataFrame | None = None, scale: DataFrame | None = None) -> DataFrame:
+    """One row for each page that has regions: (keys, r, e, b, s), arrays of its regions, elements, region blocks that have an order, and the scale of its places.
+
+    What belongs to a page comes together in one aggregation, so no table is
+    sorted or joined again for the steps within a page, and their memory is
+    that of a page.
+    """
+    pick = lambda *cols: F.struct(*cols)
+    kinds = {"r": regions.select(*keys, pick("region_idx", "x_min", "x_max", "y_min", "y_max", "text", lines.is_head(F.col("text")).alias("head")).alias("r")), "e": elements.select(*keys, pick("el_idx", "order_index", *_SIDES, F.col("element_type").isin(*S.NOISE_TYPES).alias("noise")).alias("e"))}
+    if region_blocks is not None:
+        kinds["b"] = region_blocks.where("order_index is not null").select(*keys, pick("order_index", "rb_idx", "element_indices").alias("b"))
+    if scale is not None:
+        kinds["s"] = scale.select(*keys, pick("tw", "th", "lw", "lh").alias("s"))
+    all_ = None
+    for d in spread(keys, *kinds.values()):
+        all_ = d if all_ is None else all_.unionByName(d, allowMissingColumns=True)
+    g = all_.groupBy(*keys).agg(*[F.collect_list(k).alias(k) for k in kinds]).where(F.size("r") > 0)
+    top = lambda a, c: F.array_max(F.transform(a, lambda v: v[c]))
+    own = F.when(F.size("e") > 0, F.struct(top("r", "x_max").alias("tw"), top("r", "y_max").alias("th"), top("e", "x_max").alias("lw"), top("e", "y_max").alias("lh")))
+    return g.withColumn("s", own if scale is None else F.get("s", F.lit(0)))
+
+
+def _holds(r: Column, b: Column, s: Column) -> Column:
+    """Whether the region's (centre x, top) is in the box, as shares of the page."""
+    return G.inside(G.center(r["x_min"], r["x_max"]), r["y_min"], tuple(s[c] for c in ("tw", "th", "lw", "lh")), tuple(b[c] for c in _SIDES))
+
+
+def _by_index(e: Column) -> Column:
+    """ORD-7 of a page's elements: those that are no noise in order."""
+    last = lambda x: x["order_index"].isNull()
+    return F.sort_array(F.transform(F.filter(e, lambda x: ~x["noise"]), lambda x: F.struct(last(x).alias("last"), x["order_index"].alias("o"), F.when(last(x), x["y_min"]).alias("y"), x["el_idx"].alias("i"), *[x[c].alias(c) for c in _SIDES])))
+
 
+def _by_blocks(e: Column, b: Column) -> Column:
+    """JN-9 of a page's elements and region blocks: see fallback_elements."""
+    at = lambda v, i, p, x: F.struct(v["order_index"].alias("b"), v["rb_idx"].alias("rb"), x["order_index"].isNull().alias("last"), x["order_index"].alias("o"), x["y_min"].alias("y"), p.alias("p"), *[x[c].alias(c) for c in _SIDES])
+    refs = lambda v: F.transform(v["element_indices"], lambda i, p: F.transform(F.filter(e, lambda x: ~x["noise"] & (x["el_idx"] == i)), lambda x: at(v, i, p, x)))
+    return F.sort_array(F.flatten(F.transform(b, lambda v: F.flatten(F.coalesce(refs(v), F.array())))))
 
-def _in_blocks(regions: DataFrame, blocks: DataFrame, keys: list[str], scale: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keys, block_rank, pos, y_min, text) of the regions that a block claims, in order within it; and the regions that none claims."""
-    claimed = claim(regions, blocks, keys, scale)
-    own = columns.reading_order(claimed.where("block_rank is not null"), [*keys, "block_rank"], in_block=True)
-    return own.select(*keys, "block_rank", "pos", "y_min", "text"), claimed.where("block_rank is null").drop("block_rank")
 
+def _claimed(r: Column, boxes: Column, s: Column) -> Column:
+    """Array (k, r): each region and the place of the first box that holds it; null for none."""
+    return F.transform(r, lambda x: F.struct(F.array_min(F.transform(boxes, lambda b, i: F.when(_holds(x, b, s), i + 1))).alias("k"), x.alias("r")))
 
-def _paragraphs(d: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, block_rank, pos, line)"""
-    return lines.paragraphs(d.withColumnRenamed("text", "line"), [*keys, "block_rank"], "pos", "y_min")
+
+def _lines(rank: Column, items: Column) -> Column:
+    return F.transform(lines.joined(items), lambda x: F.struct(rank.alias("block_rank"), x["pos"].alias("pos"), x["line"].alias("line")))
+
+
+def _in_blocks(c: Column) -> Column:
+    """Array (block_rank, pos, line) of the claimed regions: each block's in order, merged into paragraphs."""
+    items = lambda k: F.transform(F.filter(c, lambda x: x["k"] == k), lambda x: x["r"])
+    block = lambda k: let(let(items(k), lambda v: columns.ordered(v, in_block=True)), lambda v: _lines(k, v))
+    return F.flatten(F.transform(F.sort_array(F.array_distinct(some(F.transform(c, lambda x: x["k"])))), block))
+
+
+def _assembled(r: Column, e: Column, s: Column) -> Column:
+    noise = lambda x: F.coalesce(F.exists(e, lambda b: b["noise"] & _holds(x, b, s)), F.lit(False))
+    left = lambda c: F.transform(F.sort_array(F.transform(F.filter(c, lambda x: x["k"].isNull() & ~noise(x["r"])), lambda x: F.struct(x["r"]["y_min"].alias("y"), x["r"]["region_idx"].alias("i"), x["r"].alias("r")))), lambda x: x["r"])
+    return let(let(_by_index(e), lambda boxes: _claimed(r, boxes, s)), lambda c: F.concat(_in_blocks(c), let(left(c), lambda v: _lines(F.lit(2147483647), v))))
+
+
+def _fallen_back(r: Column, e: Column, b: Column, s: Column) -> Column:
+    rest = F.transform(columns.ordered(r), lambda x, i: F.struct(F.lit(0).alias("block_rank"), (i + 1).alias("pos"), x["text"].alias("line")))
+    return let(let(let(_by_blocks(e, b), lambda boxes: _claimed(r, boxes, s)), _in_blocks), lambda own: F.when(F.size(own) > 0, own).otherwise(rest))
 
 
 def assemble(regions: DataFrame, elements: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
@@ -94,11 +145,13 @@ def assemble(regions: DataFrame, elements: DataFrame, keys: list[str], scale: Da
 
     ``scale`` is that of the whole page, where ``regions`` are only a part of it.
     """
-    scale = page_scale(regions, elements, keys) if scale is None else scale
-    own, left = _in_blocks(regions, block_order(elements, keys), keys, scale)
-    left = _outside_top(left, elements.where(F.col("element_type").isin(*S.NOISE_TYPES)), keys, scale)
-    left = left.select(*keys, F.lit(2147483647).alias("block_rank"), F.row_number().over(W.partitionBy(*keys).orderBy("y_min", "region_idx")).alias("pos"), "y_min", "text")
-    return _paragraphs(own.unionByName(left), keys)
+    d = _pages(keys, regions, elements, scale=scale)
+    return _rows(d.select(*keys, _assembled(F.col("r"), F.col("e"), F.col("s")).alias("o")), keys)
+
+
+def _rows(d: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each line of an array ``o``; outer, as the plan would else work the array out a second time to see whether it is empty."""
+    return d.select(*keys, F.explode_outer("o").alias("o")).where("o is not null").select(*keys, "o.*")
 
 
 def fallback_elements(region_blocks: DataFrame, elements: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,10 +164,8 @@ def fallback_elements(region_blocks: DataFrame, elements: DataFrame, keys: list[
 
 def fallback_order(regions: DataFrame, elements: DataFrame, region_blocks: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
     """ORD-9: (keys, block_rank, pos, line) for pages whose elements have no order: by region blocks, without leftovers; where that gives nothing, the regions in reading order."""
-    own, _ = _in_blocks(regions, fallback_elements(region_blocks, elements, keys), keys, page_scale(regions, elements, keys) if scale is None else scale)
-    made = _paragraphs(own, keys)
-    rest = columns.reading_order(regions.join(own.select(*keys).distinct(), keys, "left_anti"), keys)
-    return made.unionByName(rest.select(*keys, F.lit(0).alias("block_rank"), "pos", F.col("text").alias("line")))
+    d = _pages(keys, regions, elements, region_blocks, scale)
+    return _rows(d.select(*keys, _fallen_back(F.col("r"), F.col("e"), F.col("b"), F.col("s")).alias("o")), keys)
 
 
 def order_structure(regions: DataFrame, elements: DataFrame, region_blocks: DataFrame, keys: list[str], scale: DataFrame | None = None) -> DataFrame:
@@ -123,14 +174,13 @@ def order_structure(regions: DataFrame, elements: DataFrame, region_blocks: Data
     Pages of which a block that is no noise has an order go by it (ORD-7/8),
     the others by ORD-9. What vertical writing took counts there no more.
     """
-    scale = page_scale(regions, elements, keys) if scale is None else scale
-    tall = columns.vertical_columns(regions, keys)
-    up = columns.column_texts(tall, keys).select(*keys, F.lit(0).alias("__s"), F.lit(0).alias("block_rank"), F.col("col_no").alias("pos"), F.col("text").alias("line"))
-    flat = regions.join(tall.select(*keys, "region_idx"), [*keys, "region_idx"], "left_anti")
-    ordered = elements.where(~F.col("element_type").isin(*S.NOISE_TYPES) & F.col("order_index").isNotNull()).select(*keys).distinct()
-    by = lambda d, how: d.join(ordered, keys, how)
-    a = assemble(by(flat, "left_semi"), by(elements, "left_semi"), keys, scale)
-    b = fallback_order(by(flat, "left_anti"), by(elements, "left_anti"), by(region_blocks, "left_anti"), keys, scale)
-    both = a.unionByName(b).select(*keys, F.lit(1).alias("__s"), "block_rank", "pos", "line")
-    pos = F.row_number().over(W.partitionBy(*keys).orderBy("__s", "block_rank", "pos"))
-    return up.unionByName(both).select(*keys, pos.alias("pos"), "line")
+    d = _pages(keys, regions, elements, region_blocks, scale)
+    r, e, b, s = (F.col(c) for c in "rebs")
+    width = F.greatest(F.array_max(F.transform(r, lambda x: x["x_max"])), F.lit(0))
+    tall = let(width, lambda w: F.transform(r, lambda x: F.struct(F.coalesce(columns.is_tall(x, w), F.lit(False)).alias("t"), x.alias("r"))))
+    part = lambda v, t: F.transform(F.filter(v, lambda x: x["t"] if t else ~x["t"]), lambda x: x["r"])
+    has_order = F.coalesce(F.exists(e, lambda x: ~x["noise"] & x["order_index"].isNotNull()), F.lit(False))
+    flat = lambda v: F.transform(F.when(has_order, _assembled(v, e, s)).otherwise(_fallen_back(v, e, b, s)), lambda x: x["line"])
+    both = let(tall, lambda v: F.concat(let(part(v, True), columns.tall_texts), let(part(v, False), flat)))
+    numbered = F.transform(both, lambda t, i: F.struct((i + 1).alias("pos"), t.alias("line")))
+    return _rows(d.select(*keys, numbered.alias("o")), keys)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geometry as G
 from ..functions import text as X
+from ..functions.arrays import let
 from ..staging import spread
 
 
@@ -66,6 +67,68 @@ def reading_order(regions: DataFrame, keys: list[str], in_block: bool = False) -
     return d.withColumn("pos", pos).drop("__top", "__bottom")
 
 
+def _split(d: Column, w: Column) -> Column:
+    """ORD-1 of an array (r, cx, full)."""
+
+    def best(body):
+        n = F.size(body)
+        before = lambda i: F.get(body, i - 1)["cx"]
+        gaps = F.transform(body, lambda b, i: F.when(before(i).isNotNull(), F.struct((b["cx"] - before(i)).alias("gap"), (-i).alias("i"), ((b["cx"] + before(i)) / 2).alias("mid"))))
+        ok = lambda g: (w > 0) & (n >= S.MIN_REGIONS) & (g["gap"] > 0) & (g["gap"] >= w * S.COLUMN_GAP) & (-g["i"] >= S.MIN_SIDE) & (n + g["i"] >= S.MIN_SIDE)
+        across = lambda x: F.coalesce(F.exists(body, lambda b: (b["x_min"] < x) & (x < b["x_max"])), F.lit(False))
+        return let(F.array_max(gaps), lambda g: F.when(ok(g) & ~across(g["mid"]), g["mid"]))
+
+    body = F.sort_array(F.transform(F.filter(d, lambda x: ~x["full"]), lambda x: F.struct(x["cx"].alias("cx"), x["r"]["region_idx"].alias("i"), x["r"]["x_min"].alias("x_min"), x["r"]["x_max"].alias("x_max"))))
+    return F.when(F.size(d) >= S.MIN_REGIONS, let(body, best))
+
+
+def ordered(items: Column, in_block: bool = False) -> Column:
+    """``reading_order`` of a page or block that is one array of regions, without shuffle or sort of the table: the array in that order."""
+
+    def placed(g):
+        d, w, split = g["d"], g["w"], g["split"]
+        side = lambda x: F.when(x["cx"] < split, 1).otherwise(2)
+        if in_block:
+            section = lambda x: F.when(x["full"], 0).otherwise(side(x))
+            rows = lambda at: F.transform(d, lambda x: F.struct(at(x).alias("s"), x["r"]["y_min"].alias("y"), x["r"]["region_idx"].alias("i"), x["r"].alias("r")))
+            return rows(lambda x: F.when(split.isNull(), 0).otherwise(section(x)))
+        tops = F.transform(F.filter(d, lambda x: ~x["full"]), lambda x: x["r"]["y_min"])
+        section = lambda x, t: F.when(split.isNull(), 0).when(~x["full"], side(x)).when(x["r"]["y_min"] < t["top"], 0).when(x["r"]["y_min"] > t["bottom"], 4).otherwise(3)
+        row = lambda x, t: F.struct(section(x, t).alias("s"), x["r"]["y_min"].alias("y"), x["r"]["region_idx"].alias("i"), x["r"].alias("r"))
+        return let(F.struct(F.array_min(tops).alias("top"), F.array_max(tops).alias("bottom")), lambda t: F.transform(d, lambda x: row(x, t)))
+
+    def wide(w):
+        full = lambda r: G.is_full_width(r["x_min"], r["x_max"], w)
+        return let(F.transform(items, lambda r: F.struct(r.alias("r"), G.center(r["x_min"], r["x_max"]).alias("cx"), full(r).alias("full"))), lambda d: F.struct(d.alias("d"), w.alias("w"), _split(d, w).alias("split")))
+
+    width = F.greatest(F.array_max(F.transform(items, lambda r: r["x_max"])), F.lit(0))
+    return F.transform(F.sort_array(let(let(width, wide), placed)), lambda x: x["r"])
+
+
+def is_tall(r: Column, page_w: Column) -> Column:
+    """FLT-9: written downwards: far higher than wide, and narrow for the page."""
+    w = F.greatest(r["x_max"] - r["x_min"], F.lit(1.0))
+    return ((r["y_max"] - r["y_min"]) > w * S.VERTICAL_RATIO) & (w < page_w * S.VERTICAL_WIDTH)
+
+
+def tall_texts(tall: Column) -> Column:
+    """``vertical_columns`` and ``column_texts`` of a page's tall regions as one array: the texts of its columns from the right."""
+    item = lambda r: F.struct(G.center(r["x_min"], r["x_max"]).cast("double").alias("cx"), r["region_idx"].cast("int").alias("i"), (r["x_max"] - r["x_min"]).cast("double").alias("w"), r["y_min"].cast("double").alias("y"), r["text"].alias("text"))
+
+    def step(s, x):
+        same = F.coalesce(F.abs(s["a"] - x["cx"]) <= F.greatest(x["w"] * S.VERTICAL_TOLERANCE, F.lit(S.VERTICAL_FLOOR)), F.lit(False))
+        return F.struct(F.when(same, s["a"]).otherwise(x["cx"]).alias("a"), (s["i"] + 1).alias("i"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["i"]))).alias("starts"))
+
+    def columns(v, starts):
+        text = lambda c: F.regexp_replace(F.array_join(F.transform(c, lambda x: X.strip(F.coalesce(x["text"], F.lit("")))), "\n"), "^\n+", "")
+        rows = lambda c: F.sort_array(F.transform(c, lambda x: F.struct(x["y"].alias("y"), x["cx"].alias("cx"), x["i"].alias("i"), x["text"].alias("text"))))
+        made = F.transform(starts, lambda s, j: F.struct(F.get(v, s)["cx"].alias("a"), (-j).alias("g"), text(rows(F.slice(v, s + 1, F.coalesce(F.get(starts, j + 1), F.size(v)) - s))).alias("line")))
+        return F.filter(F.transform(F.sort_array(made, False), lambda c: c["line"]), lambda t: t != "")
+
+    start = F.struct(F.lit(None).cast("double").alias("a"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts")).cast("struct<a:double,i:int,starts:array<int>>")
+    return let(F.sort_array(F.transform(tall, item)), lambda v: let(F.aggregate(v, start, step)["starts"], lambda starts: columns(v, starts)))
+
+
 def vertical_columns(regions: DataFrame, keys: list[str]) -> DataFrame:
     """ORD-5: (keys, col_no, region_idx, text) of vertical writing: columns from the right, top down within.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from ..functions.arrays import let, some
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,8 +55,7 @@ def paragraphs(df: DataFrame, keys: list[str], order: str, y: str, line: str = "
     """
     w = W.partitionBy(*keys).orderBy(order)
     whole = W.partitionBy(*keys)
-    heading = X.title_level(F.col(line)).isNotNull() | X.is_marked(F.col(line))
-    d = df.select(*keys, order, line, F.abs(F.col(y) - F.lag(y).over(w)).alias("__gap"), heading.alias("__head"))
+    d = df.select(*keys, order, line, F.abs(F.col(y) - F.lag(y).over(w)).alias("__gap"), is_head(F.col(line)).alias("__head"))
     # gaps by size, none last: the middle one is the median, and no row carries the others
     by_gap = W.partitionBy(*keys).orderBy(F.col("__gap").asc_nulls_last(), order)
     middle = F.row_number().over(by_gap) == F.floor(F.count("__gap").over(whole) / 2) + 1
@@ -66,6 +66,25 @@ def paragraphs(df: DataFrame, keys: list[str], order: str, y: str, line: str = "
     return _joined(d, keys, [order], line, "", (order, line))
 
 
+def is_head(line: Column) -> Column:
+    return X.is_title(line) | X.is_marked(line)
+
+
+def joined(items: Column) -> Column:
+    """``paragraphs`` of a page or block that is one array (y_min, text, head: see is_head) in order: array of (pos, line)."""
+
+    def starts(gaps):
+        limit = lambda v: F.greatest(F.coalesce(F.get(v, F.floor(F.size(v) / 2).cast("int")), F.lit(S.PARAGRAPH_DEFAULT)), F.lit(S.PARAGRAPH_FLOOR)) * S.PARAGRAPH_FACTOR
+        cut = lambda r, i, most: F.get(gaps, i).isNull() | r["head"] | F.get(items, i - 1)["head"] | (F.get(gaps, i) > most)
+        return let(let(F.sort_array(some(gaps)), limit), lambda most: some(F.transform(items, lambda r, i: F.when(cut(r, i, most), i))))
+
+    def lines(at):
+        text = lambda s, j: F.array_join(F.transform(F.slice(items, s + 1, F.coalesce(F.get(at, j + 1), F.size(items)) - s), lambda r: r["text"]), "")
+        return F.transform(at, lambda s, j: F.struct((s + 1).alias("pos"), text(s, j).alias("line")))
+
+    return let(let(F.transform(items, lambda r, i: F.abs(r["y_min"] - F.get(items, i - 1)["y_min"])), starts), lines)
+
+
 def pair_markers(df: DataFrame, keys: list[str], order: str, line: str = "line") -> DataFrame:
     """PAR-3: (keys, pos, line): lone list markers joined with the content that follows.
 
