@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import geometry as G
 from ..functions.arrays import let, some
-from ..staging import spread
+from ..staging import gathered, spread
 from . import columns, lines
 
 _SIDES = ("x_min", "x_max", "y_min", "y_max")
@@ -73,31 +73,27 @@ def block_order(elements: DataFrame, keys: list[str]) -> DataFrame:
     return elements.where(~F.col("element_type").isin(*S.NOISE_TYPES)).withColumn("block_rank", F.row_number().over(w))
 
 
-def _pages(keys: list[str], regions: DataFrame, elements: DataFrame, region_blocks: DataFrame | None = None, scale: DataFrame | None = None) -> DataFrame:
-    """One row for each page that has regions: (keys, r, e, b, s), arrays of its regions, elements, region blocks that have an order, and the scale of its places.
+def scale_of() -> Column:
+    """AGG-3 of a page's arrays r and e; null without elements."""
+    top = lambda a, c: F.array_max(F.transform(a, lambda v: v[c]))
+    return F.when(F.size("e") > 0, F.struct(top("r", "x_max").alias("tw"), top("r", "y_max").alias("th"), top("e", "x_max").alias("lw"), top("e", "y_max").alias("lh")))
 
-    What belongs to a page comes together in one aggregation, so no table is
-    sorted or joined again for the steps within a page, and their memory is
-    that of a page.
-    """
+
+def _pages(keys: list[str], regions: DataFrame, elements: DataFrame, region_blocks: DataFrame | None = None, scale: DataFrame | None = None) -> DataFrame:
+    """One row for each page that has regions: (keys, r, e, b, s), arrays of its regions, elements, region blocks that have an order, and the scale of its places."""
     pick = lambda *cols: F.struct(*cols)
     kinds = {"r": regions.select(*keys, pick("region_idx", "x_min", "x_max", "y_min", "y_max", "text", lines.is_head(F.col("text")).alias("head")).alias("r")), "e": elements.select(*keys, pick("el_idx", "order_index", *_SIDES, F.col("element_type").isin(*S.NOISE_TYPES).alias("noise")).alias("e"))}
     if region_blocks is not None:
         kinds["b"] = region_blocks.where("order_index is not null").select(*keys, pick("order_index", "rb_idx", "element_indices").alias("b"))
     if scale is not None:
         kinds["s"] = scale.select(*keys, pick("tw", "th", "lw", "lh").alias("s"))
-    all_ = None
-    for d in spread(keys, *kinds.values()):
-        all_ = d if all_ is None else all_.unionByName(d, allowMissingColumns=True)
-    g = all_.groupBy(*keys).agg(*[F.collect_list(k).alias(k) for k in kinds]).where(F.size("r") > 0)
-    top = lambda a, c: F.array_max(F.transform(a, lambda v: v[c]))
-    own = F.when(F.size("e") > 0, F.struct(top("r", "x_max").alias("tw"), top("r", "y_max").alias("th"), top("e", "x_max").alias("lw"), top("e", "y_max").alias("lh")))
-    return g.withColumn("s", own if scale is None else F.get("s", F.lit(0)))
+    g = gathered(keys, **kinds).where(F.size("r") > 0)
+    return g.withColumn("s", scale_of() if scale is None else F.get("s", F.lit(0)))
 
 
-def _holds(r: Column, b: Column, s: Column) -> Column:
-    """Whether the region's (centre x, top) is in the box, as shares of the page."""
-    return G.inside(G.center(r["x_min"], r["x_max"]), r["y_min"], tuple(s[c] for c in ("tw", "th", "lw", "lh")), tuple(b[c] for c in _SIDES))
+def holds(r: Column, b: Column, s: Column, y: Column | None = None) -> Column:
+    """Whether the region's (centre x, top or ``y``) is in the box, as shares of the page."""
+    return G.inside(G.center(r["x_min"], r["x_max"]), r["y_min"] if y is None else y, tuple(s[c] for c in ("tw", "th", "lw", "lh")), tuple(b[c] for c in _SIDES))
 
 
 def _by_index(e: Column) -> Column:
@@ -115,7 +111,7 @@ def _by_blocks(e: Column, b: Column) -> Column:
 
 def _claimed(r: Column, boxes: Column, s: Column) -> Column:
     """Array (k, r): each region and the place of the first box that holds it; null for none."""
-    return F.transform(r, lambda x: F.struct(F.array_min(F.transform(boxes, lambda b, i: F.when(_holds(x, b, s), i + 1))).alias("k"), x.alias("r")))
+    return F.transform(r, lambda x: F.struct(F.array_min(F.transform(boxes, lambda b, i: F.when(holds(x, b, s), i + 1))).alias("k"), x.alias("r")))
 
 
 def _lines(rank: Column, items: Column) -> Column:
@@ -130,7 +126,7 @@ def _in_blocks(c: Column) -> Column:
 
 
 def _assembled(r: Column, e: Column, s: Column) -> Column:
-    noise = lambda x: F.coalesce(F.exists(e, lambda b: b["noise"] & _holds(x, b, s)), F.lit(False))
+    noise = lambda x: F.coalesce(F.exists(e, lambda b: b["noise"] & holds(x, b, s)), F.lit(False))
     left = lambda c: F.transform(F.sort_array(F.transform(F.filter(c, lambda x: x["k"].isNull() & ~noise(x["r"])), lambda x: F.struct(x["r"]["y_min"].alias("y"), x["r"]["region_idx"].alias("i"), x["r"].alias("r")))), lambda x: x["r"])
     return let(let(_by_index(e), lambda boxes: _claimed(r, boxes, s)), lambda c: F.concat(_in_blocks(c), let(left(c), lambda v: _lines(F.lit(2147483647), v))))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import geometry as G
 from ..functions import text as X
-from ..functions.arrays import let
+from ..functions.arrays import anchored, let, runs
 from ..staging import spread
 
 
@@ -115,18 +115,14 @@ def tall_texts(tall: Column) -> Column:
     """``vertical_columns`` and ``column_texts`` of a page's tall regions as one array: the texts of its columns from the right."""
     item = lambda r: F.struct(G.center(r["x_min"], r["x_max"]).cast("double").alias("cx"), r["region_idx"].cast("int").alias("i"), (r["x_max"] - r["x_min"]).cast("double").alias("w"), r["y_min"].cast("double").alias("y"), r["text"].alias("text"))
 
-    def step(s, x):
-        same = F.coalesce(F.abs(s["a"] - x["cx"]) <= F.greatest(x["w"] * S.VERTICAL_TOLERANCE, F.lit(S.VERTICAL_FLOOR)), F.lit(False))
-        return F.struct(F.when(same, s["a"]).otherwise(x["cx"]).alias("a"), (s["i"] + 1).alias("i"), F.when(same, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["i"]))).alias("starts"))
-
-    def columns(v, starts):
+    def columns(cs):
         text = lambda c: F.regexp_replace(F.array_join(F.transform(c, lambda x: X.strip(F.coalesce(x["text"], F.lit("")))), "\n"), "^\n+", "")
         rows = lambda c: F.sort_array(F.transform(c, lambda x: F.struct(x["y"].alias("y"), x["cx"].alias("cx"), x["i"].alias("i"), x["text"].alias("text"))))
-        made = F.transform(starts, lambda s, j: F.struct(F.get(v, s)["cx"].alias("a"), (-j).alias("g"), text(rows(F.slice(v, s + 1, F.coalesce(F.get(starts, j + 1), F.size(v)) - s))).alias("line")))
+        made = F.transform(cs, lambda c, j: F.struct(F.get(c, F.lit(0))["cx"].alias("a"), (-j).alias("g"), text(rows(c)).alias("line")))
         return F.filter(F.transform(F.sort_array(made, False), lambda c: c["line"]), lambda t: t != "")
 
-    start = F.struct(F.lit(None).cast("double").alias("a"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts")).cast("struct<a:double,i:int,starts:array<int>>")
-    return let(F.sort_array(F.transform(tall, item)), lambda v: let(F.aggregate(v, start, step)["starts"], lambda starts: columns(v, starts)))
+    same = lambda a, x: F.abs(a - x["cx"]) <= F.greatest(x["w"] * S.VERTICAL_TOLERANCE, F.lit(S.VERTICAL_FLOOR))
+    return let(F.sort_array(F.transform(tall, item)), lambda v: let(let(anchored(v, lambda x: x["cx"], same), lambda at: runs(v, at)), columns))
 
 
 def vertical_columns(regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import geometry as G
 from ..functions import text as X
-from ..staging import cut
+from ..functions.arrays import anchored, let, middle, runs, some
+from ..staging import gathered
 
 
 def upper_median(values: Column) -> Column:
@@ -26,7 +27,7 @@ def row_groups(regions: DataFrame, keys: list[str], tolerance: Column) -> DataFr
     """
     rest = [c for c in regions.columns if c not in keys]
     item = F.struct(F.col("y_min").cast("double").alias("__y"), F.col("region_idx").cast("int").alias("__i"), F.struct(*rest).alias("r"))
-    g = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["__y"] < b["__y"], -1).when(a["__y"] > b["__y"], 1).otherwise(F.sign(a["__i"] - b["__i"]).cast("int"))).alias("items"), F.max(tolerance).cast("double").alias("__tol"))
+    g = regions.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"), F.max(tolerance).cast("double").alias("__tol"))
     kind = "struct<a:double,g:int,out:array<int>>"
 
     def step(tol):
@@ -39,7 +40,7 @@ def row_groups(regions: DataFrame, keys: list[str], tolerance: Column) -> DataFr
 
     start = F.struct(F.lit(None).cast("double").alias("a"), F.lit(0).alias("g"), F.array().cast("array<int>").alias("out")).cast(kind)
     g = g.withColumn("__rows", F.aggregate("items", start, step(F.col("__tol")))["out"])
-    z = g.select(*keys, F.explode(F.arrays_zip("items", "__rows")).alias("z"))
+    z = g.select(*keys, F.explode_outer(F.arrays_zip("items", "__rows")).alias("z"))
     return z.select(*keys, "z.items.r.*", F.col("z.__rows").alias("row_no"))
 
 
@@ -60,11 +61,9 @@ def cells(rows: DataFrame, keys: list[str], gap: Column) -> DataFrame:
     return g.select(*keys, "row_no", "cell_no", first["x_min"].alias("x"), first["y_min"].alias("y"), F.array_max(F.transform("i", lambda v: v["h"])).alias("h"), text.alias("text"))
 
 
-def row_tolerance(regions: DataFrame, keys: list[str], widths: DataFrame | None = None) -> DataFrame:
-    """GRD-4: (keys, page_w, row_tol): half the usual distance of rows, within 4 and 30% of the page. The page's width is that of its regions, or given as (keys, page_w)."""
+def row_tolerance(regions: DataFrame, keys: list[str]) -> DataFrame:
+    """GRD-4: (keys, page_w, row_tol): half the usual distance of rows, within 4 and 30% of the page."""
     p = regions.groupBy(*keys).agg(F.greatest(F.max("x_max"), F.lit(0)).alias("page_w"), F.coalesce(upper_median(F.collect_list(F.col("y_max") - F.col("y_min"))), F.lit(S.HEIGHT_DEFAULT)).alias("__rh"))
-    if widths is not None:
-        p = p.drop("page_w").join(widths, keys)
     coarse = row_groups(regions.join(p, keys), keys, F.greatest(F.col("__rh") * 0.8, F.lit(2.0)))
     c = cells(coarse, keys, F.col("page_w") * S.GRID_GAP).groupBy(*keys, "row_no").agg(F.avg("y").alias("__c"))
     d = c.withColumn("__d", F.abs(F.col("__c") - F.lag("__c").over(W.partitionBy(*keys).orderBy("row_no"))))
@@ -120,25 +119,123 @@ def alignment(placed: DataFrame, keys: list[str], page_w: Column, tolerant: bool
     return c.groupBy(*keys).agg(F.bool_and((F.size("v") < 2) | ok).alias("aligned"))
 
 
-def reconstruct(regions: DataFrame, keys: list[str], tolerant: bool = False, widths: DataFrame | None = None) -> DataFrame:
-    """GRD-5: one row for each page that is a table: (keys, cols, has_header, header, rows) of text, x, y, h."""
-    big = regions.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).where("__n >= 4").drop("__n")
-    tol = cut(row_tolerance(big, keys, widths))
-    rows = row_groups(big.join(tol, keys), keys, F.col("row_tol"))
-    cell = cut(cells(rows, keys, F.col("page_w") * S.GRID_GAP))
-    cols = column_count(cell, keys)
-    placed = cut(assign_cells(cell, column_centers(cell, cols, keys), keys))
-    good = alignment(placed.join(tol, keys), keys, F.col("page_w"), tolerant).where("aligned").select(*keys)
-    whole = placed.join(good, keys, "left_semi").join(cols, keys)
-    c = F.struct("text", F.col("x").cast("float").alias("x"), F.col("y").cast("float").alias("y"), F.col("h").cast("float").alias("h"))
-    r = whole.groupBy(*keys, "row_no", "cols").agg(F.map_from_entries(F.collect_list(F.struct("col", c))).alias("m"))
-    empty = F.struct(F.lit("").alias("text"), F.lit(0.0).cast("float").alias("x"), F.lit(0.0).cast("float").alias("y"), F.lit(0.0).cast("float").alias("h"))
-    r = r.select(*keys, "row_no", "cols", F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), empty)).alias("r"))
-    g = r.groupBy(*keys, "cols").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "r"))), lambda v: v["r"]).alias("all"))
-    g = g.select(*keys, "cols", F.element_at("all", 1).alias("header"), F.slice("all", 2, F.size("all")).alias("rows"))
+def _page_rows(items: Column, tol: Column) -> Column:
+    """``row_groups`` of a page's array of regions: an array for each row."""
+    v = F.sort_array(F.transform(items, lambda r: F.struct(r["y_min"].cast("double").alias("y"), r["region_idx"].cast("int").alias("i"), r.alias("r"))))
+    return let(v, lambda v: let(anchored(v, lambda x: x["y"], lambda a, x: F.abs(a - x["y"]) <= tol), lambda at: F.transform(runs(v, at), lambda row: F.transform(row, lambda x: x["r"]))))
+
+
+def _row_cells(row: Column, gap: Column) -> Column:
+    """GRD-2 of a row's array of regions: an array (x, i, y, h, text, end) for each cell."""
+    v = F.transform(row, lambda r: F.struct(r["x_min"].alias("x"), r["region_idx"].alias("i"), r["y_min"].alias("y"), (r["y_max"] - r["y_min"]).alias("h"), r["text"].alias("text"), r["x_max"].alias("end")))
+    apart = lambda v, c, i: F.coalesce(c["x"] - F.get(v, i - 1)["end"] > gap, F.lit(True))
+    cut = lambda v: let(some(F.transform(v, lambda c, i: F.when(apart(v, c, i), i))), lambda at: runs(v, at))
+    return F.when(F.size(row) == 1, F.array(v)).otherwise(let(F.sort_array(v), cut))
+
+
+def _joined(text: Column, more: Column) -> Column:
+    blank = F.when(text.rlike("[A-Za-z0-9]$") & more.rlike("^[A-Za-z0-9]"), F.lit(" ")).otherwise(F.lit(""))
+    return F.concat(text, blank, X.strip(more))
+
+
+def _made(cell: Column) -> Column:
+    """GRD-3: (x, y, h, text) of a cell's regions."""
+    first, texts = F.get(cell, F.lit(0)), F.transform(cell, lambda c: c["text"])
+    text = F.when(F.size(cell) == 1, X.strip(first["text"])).otherwise(F.aggregate(texts, F.lit(""), _joined))
+    return F.struct(first["x"].alias("x"), first["y"].alias("y"), F.array_max(F.transform(cell, lambda c: c["h"])).alias("h"), text.alias("text"))
+
+
+def _page_cells(items: Column, tol: Column, gap: Column) -> Column:
+    return let(_page_rows(items, tol), lambda rows: F.transform(rows, lambda row: F.transform(_row_cells(row, gap), _made)))
+
+
+def _page_tolerance(items: Column, page_w: Column) -> Column:
+    """``row_tolerance`` of a page's array of regions."""
+    height = F.coalesce(middle(F.transform(items, lambda r: r["y_max"] - r["y_min"])), F.lit(S.HEIGHT_DEFAULT))
+    tops = lambda row: some(F.transform(_row_cells(row, page_w * S.GRID_GAP), lambda c: F.get(c, F.lit(0))["y"].cast("double")))
+    mean = lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v))
+    means = let(let(F.greatest(height * 0.8, F.lit(2.0)), lambda tol: _page_rows(items, tol)), lambda rows: F.transform(rows, lambda row: let(tops(row), mean)))
+    pitch = let(means, lambda m: middle(F.transform(m, lambda c, i: F.abs(c - F.get(m, i - 1)))))
+    upper = F.greatest(page_w * S.ROW_CEILING, F.lit(S.ROW_FLOOR))
+    return let(F.coalesce(pitch, F.lit(S.PITCH_DEFAULT)) * 0.5, lambda tol: F.when(F.isnan(tol), F.lit(S.ROW_FLOOR)).otherwise(F.least(F.greatest(tol, F.lit(S.ROW_FLOOR)), upper)))
+
+
+def _page_placed(rows: Column) -> Column:
+    """``column_count``, ``column_centers`` and ``assign_cells`` of a page's rows of cells: (cols, rows: array (row_no, row: array (e, x, cell_no, y, h, text) by column, null where none is)); null without columns."""
+    count = lambda k: F.array_max(F.transform(k, lambda n, i: F.when((n >= 2) & (F.get(k, i - 1) == n), n)))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    centers = lambda full, n: F.transform(upto(n), lambda c: middle(F.transform(full, lambda r: F.get(r, c)["x"])))
+    nearest = lambda x, cs: F.array_min(F.transform(cs, lambda c, i: F.struct(F.abs(x["x"] - c).alias("d"), i.alias("col"))))["col"]
+    pick = lambda x, j: F.struct((x["text"] == "").alias("e"), x["x"].alias("x"), (j + 1).alias("cell_no"), x["y"].alias("y"), x["h"].alias("h"), x["text"].alias("text"))
+    near = lambda r, cs: F.transform(r, lambda x, j: F.struct(nearest(x, cs).alias("col"), pick(x, j).alias("p")))
+    row = lambda r, cs, n: let(near(r, cs), lambda m: F.transform(upto(n), lambda k: F.array_min(F.transform(F.filter(m, lambda x: x["col"] == k), lambda x: x["p"]))))
+    wide = F.filter(F.transform(rows, lambda r, i: F.struct((i + 1).alias("row_no"), r.alias("r"))), lambda v: F.size(v["r"]) >= 2)
+    placed = lambda cs, n: F.transform(wide, lambda v: F.struct(v["row_no"].alias("row_no"), row(v["r"], cs, n).alias("row")))
+    all_ = lambda n: let(let(F.filter(rows, lambda r: F.size(r) == n), lambda full: centers(full, n)), lambda cs: placed(cs, n))
+    return let(let(F.sort_array(F.transform(rows, lambda r: F.size(r))), count), lambda n: F.when(n.isNotNull(), F.struct(n.alias("cols"), all_(n).alias("rows"))))
+
+
+def _page_aligned(placed: Column, page_w: Column, tolerant: bool) -> Column:
+    """``alignment`` of a page's placed rows."""
+    tol = F.greatest(page_w * S.GRID_COLUMN, F.lit(S.GRID_COLUMN_FLOOR))
+    of = lambda k: some(F.transform(placed["rows"], lambda r, i: F.when((i > 0) & (F.get(r["row"], k)["text"] != ""), F.get(r["row"], k)["x"])))
+    if tolerant:
+        ok = lambda v: let(middle(v), lambda m: F.size(F.filter(v, lambda x: F.abs(x - m) > tol)) * 100 <= F.size(v) * S.GRID_OUTLIERS)
+    else:
+        ok = lambda v: F.array_max(v) - F.array_min(v) <= tol
+    return F.forall(F.sequence(F.lit(0), placed["cols"] - 1), lambda k: let(of(k), lambda v: F.coalesce((F.size(v) < 2) | ok(v), F.lit(True))))
+
+
+def _page_grid(placed: Column, page_w: Column, tolerant: bool) -> Column:
+    """GRD-5 of a page's placed rows: (cols, all: its rows of (text, x, y, h)); null where it is no table."""
+    single = lambda c: F.struct(c["text"].alias("text"), *[c[v].cast("float").alias(v) for v in ("x", "y", "h")])
+    empty = F.struct(F.lit("").alias("text"), *[F.lit(0.0).cast("float").alias(v) for v in ("x", "y", "h")])
+    filled = F.transform(placed["rows"], lambda r: F.transform(r["row"], lambda c: F.when(c.isNull(), empty).otherwise(single(c))))
+    return F.when(placed.isNotNull(), F.when(_page_aligned(placed, page_w, tolerant), F.struct(placed["cols"].alias("cols"), filled.alias("all"))))
+
+
+def _tables(pages: DataFrame, keys: list[str], tolerant: bool = False) -> DataFrame:
+    """The pages (keys, items, page_w) that are tables.
+
+    In steps, as Spark's analysis only takes so many functions within each
+    other; what a step has from the one before it names once, so that nothing
+    is worked out again where the plan puts steps together. The explode is
+    outer, as the plan would else see in advance whether there is something.
+    """
+    c, many = F.col, F.size("items") >= 4
+    d = pages.select(*keys, "items", "page_w", F.when(many, let(c("page_w"), lambda w: _page_tolerance(c("items"), w))).alias("tol"))
+    d = d.select(*keys, "page_w", F.when(many, let(F.struct("page_w", "tol"), lambda v: _page_cells(c("items"), v["tol"], v["page_w"] * S.GRID_GAP))).alias("rows"))
+    d = d.select(*keys, "page_w", F.when(c("rows").isNotNull(), let(c("rows"), _page_placed)).alias("placed"))
+    d = d.select(*keys, let(F.struct("placed", "page_w"), lambda v: _page_grid(v["placed"], v["page_w"], tolerant)).alias("g"))
+    g = d.select(*keys, F.explode_outer(some(F.array("g"))).alias("g")).where("g is not null")
+    g = g.select(*keys, "g.cols", F.element_at("g.all", 1).alias("header"), F.slice("g.all", 2, F.size("g.all")).alias("rows"))
     return g.withColumn("has_header", is_header(F.transform("header", lambda v: v["text"]), F.transform(F.flatten("rows"), lambda v: v["text"]))).select(*keys, "cols", "has_header", "header", "rows")
 
 
+_ITEM = ("region_idx", "x_min", "x_max", "y_min", "y_max", "text")
+
+
+def _width(items: Column) -> Column:
+    return F.greatest(F.array_max(F.transform(items, lambda r: r["x_max"])), F.lit(0))
+
+
+def place(regions: DataFrame, keys: list[str], tolerance: Column, gap: Column) -> DataFrame:
+    """GRD-1..3, AGG-5/6, JN-11 in one: (keys, row_no, col, x, y, h, text), what ``assign_cells`` gives from the regions' rows and cells."""
+    pages = gathered(keys, r=regions.select(*keys, F.struct(*_ITEM).alias("r")))
+    d = pages.select(*keys, _page_cells(F.col("r"), tolerance, gap).alias("rows"))
+    d = d.select(*keys, F.explode_outer(let(F.col("rows"), _page_placed)["rows"]).alias("v"))
+    return d.select(*keys, "v.row_no", F.posexplode_outer("v.row").alias("col", "c")).where("c is not null").select(*keys, "row_no", "col", "c.x", "c.y", "c.h", "c.text")
+
+
+def reconstruct(regions: DataFrame, keys: list[str], tolerant: bool = False) -> DataFrame:
+    """GRD-5: one row for each page that is a table: (keys, cols, has_header, header, rows) of text, x, y, h.
+
+    A page's regions come together once; all steps work on that array.
+    """
+    pages = gathered(keys, r=regions.select(*keys, F.struct(*_ITEM).alias("r")))
+    return _tables(pages.select(*keys, F.col("r").alias("items"), _width(F.col("r")).alias("page_w")), keys, tolerant)
+
+
 def is_header(header: Column, body: Column) -> Column:
     """FLT-17: the first row names columns: a key word, or texts far shorter than the body's."""
     words = F.array_join(header, "").rlike("|".join(S.HEADER_WORDS))
@@ -167,14 +264,18 @@ def image_tables(regions: DataFrame, elements: DataFrame, keys: list[str], scale
     """GRD-8: tables that the layout took for images: (keys, cols, has_header, header, rows)."""
     from . import blocks
 
-    images = elements.where("element_type = 'image'").join(image_guard(elements, keys).where("tried").select(*keys), keys, "left_semi")
-    image = images.withColumn("block_rank", F.lit(1))
-    shifted = regions.where(X.strip(F.col("text")) != "").withColumn("__y", F.col("y_min")).withColumn("y_min", (F.col("y_min") + F.col("y_max")) / 2)
-    scale = blocks.page_scale(regions, elements, keys) if scale is None else scale
-    inside = blocks.claim(shifted, image, keys, scale).where("block_rank = 1")
-    inside = inside.withColumn("y_min", F.col("__y")).drop("__y", "block_rank")
-    inside = inside.withColumn("x_max", F.greatest("x_max", F.col("x_min") + 1)).withColumn("y_max", F.greatest("y_max", F.col("y_min") + 1))
-    g = reconstruct(inside, keys, True, scale.select(*keys, F.greatest("tw", F.lit(0)).alias("page_w")))
+    kinds = {"r": regions.select(*keys, F.struct(*_ITEM, (X.strip(F.col("text")) != "").alias("some")).alias("r")), "e": elements.select(*keys, F.struct("element_type", "x_min", "x_max", "y_min", "y_max").alias("e"))}
+    if scale is not None:
+        kinds["s"] = scale.select(*keys, F.struct("tw", "th", "lw", "lh").alias("s"))
+    pages = gathered(keys, **kinds).where((F.size("r") > 0) & (F.size("e") > 0))
+    pages = pages.withColumn("s", blocks.scale_of() if scale is None else F.get("s", F.lit(0)))
+    has = lambda t: F.coalesce(F.exists("e", lambda e: e["element_type"] == t), F.lit(False))
+    tried = has("image") & ~(has("figure_title") & ~has("table_title"))
+    held = lambda r: F.exists("e", lambda e: (e["element_type"] == "image") & blocks.holds(r, e, F.col("s"), (r["y_min"] + r["y_max"]) / 2))
+    grown = lambda r: F.struct(*[r[c].alias(c) for c in ("region_idx", "x_min", "y_min", "text")], F.greatest(r["x_max"], r["x_min"] + 1).alias("x_max"), F.greatest(r["y_max"], r["y_min"] + 1).alias("y_max"))
+    inside = F.transform(F.filter("r", lambda r: r["some"] & held(r)), grown)
+    pages = pages.select(*keys, "r", "e", "s", F.when(tried & F.col("s").isNotNull(), F.greatest(F.col("s.tw"), F.lit(0))).alias("page_w"))
+    g = _tables(pages.select(*keys, F.when(F.col("page_w").isNotNull(), inside).alias("items"), "page_w"), keys, True)
     every = F.transform(F.flatten(F.concat(F.array("header"), F.col("rows"))), lambda v: v["text"])
     g = g.withColumn("__t", every).withColumn("__s", F.filter("__t", lambda t: t != ""))
     prose = (F.col("cols") == 2) & (F.size(F.filter("__s", X.is_prose)) * 10 > F.size("__s") * S.PROSE_TENTHS)

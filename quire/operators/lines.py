@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import text as X
-from ..functions.arrays import let, some
+from ..functions.arrays import let, middle, runs, some
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,15 +74,15 @@ def joined(items: Column) -> Column:
     """``paragraphs`` of a page or block that is one array (y_min, text, head: see is_head) in order: array of (pos, line)."""
 
     def starts(gaps):
-        limit = lambda v: F.greatest(F.coalesce(F.get(v, F.floor(F.size(v) / 2).cast("int")), F.lit(S.PARAGRAPH_DEFAULT)), F.lit(S.PARAGRAPH_FLOOR)) * S.PARAGRAPH_FACTOR
+        limit = F.greatest(F.coalesce(middle(gaps), F.lit(S.PARAGRAPH_DEFAULT)), F.lit(S.PARAGRAPH_FLOOR)) * S.PARAGRAPH_FACTOR
         cut = lambda r, i, most: F.get(gaps, i).isNull() | r["head"] | F.get(items, i - 1)["head"] | (F.get(gaps, i) > most)
-        return let(let(F.sort_array(some(gaps)), limit), lambda most: some(F.transform(items, lambda r, i: F.when(cut(r, i, most), i))))
+        return let(limit, lambda most: some(F.transform(items, lambda r, i: F.when(cut(r, i, most), i))))
 
-    def lines(at):
-        text = lambda s, j: F.array_join(F.transform(F.slice(items, s + 1, F.coalesce(F.get(at, j + 1), F.size(items)) - s), lambda r: r["text"]), "")
-        return F.transform(at, lambda s, j: F.struct((s + 1).alias("pos"), text(s, j).alias("line")))
+    def paragraphs(at):
+        text = lambda rows: F.array_join(F.transform(rows, lambda r: r["text"]), "")
+        return F.transform(runs(items, at), lambda rows, j: F.struct((F.get(at, j) + 1).alias("pos"), text(rows).alias("line")))
 
-    return let(let(F.transform(items, lambda r, i: F.abs(r["y_min"] - F.get(items, i - 1)["y_min"])), starts), lines)
+    return let(let(F.transform(items, lambda r, i: F.abs(r["y_min"] - F.get(items, i - 1)["y_min"])), starts), paragraphs)
 
 
 def pair_markers(df: DataFrame, keys: list[str], order: str, line: str = "line") -> DataFrame:

@@ -443,8 +443,7 @@ def column_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _placed(spark, sf_dir):
-    c = _cells(spark, sf_dir)
-    return D.assign_cells(c, D.column_centers(c, D.column_count(c, _KEY), _KEY), _KEY)
+    return D.place(A.regions(spark, sf_dir), _KEY, F.lit(21.0), F.lit(6.0))
 
 
 @query(f"with {_PLACE} select doc_id, row_no, col, x, y, h, text from placed")

@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -101,6 +102,17 @@ def spread(keys: list[str], *dfs: DataFrame) -> tuple[DataFrame, ...]:
     return tuple(d if _placed(d, keys) == n else d.repartition(n, *keys) for d in dfs)
 
 
+def gathered(keys: list[str], **kinds: DataFrame) -> DataFrame:
+    """One row for each page: (keys, an array for each kind). Each kind has its rows as a column of its name beside the keys.
+
+    What belongs to a page comes together in one aggregation, so no table is
+    sorted or joined for the steps within a page, and their memory is that of
+    a page.
+    """
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), spread(keys, *kinds.values()))
+    return every.groupBy(*keys).agg(*[F.collect_list(k).alias(k) for k in kinds])
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that are staged within are removed at its end: use or write what was returned before that."""

@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from quire.functions import text as X
 from quire.operators import blocks as B
 from quire.operators import columns as C
+from quire.operators import grid as D
 from quire.operators import lines as L
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +81,32 @@ def test_brought_together_once(spark, name):
     assert plan.count("Join ") == plan.count("Join Cross")
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["image_tables", "grid_reconstruct", "grid_structure", "cell_assignment"])
+def test_grids_brought_together_once(spark, name):
+    """No table is staged, and a page's regions come together once after their numbering."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Window [") == 1 and "Join " not in plan
+    assert plan.count("Relation [") <= 2
+
+
+def test_place(spark):
+    """The same as rows, cells, columns and nearest columns made one after the other."""
+    rng = random.Random(3)
+    rows = [(p, i, float(x), float(x + 40), float(y), float(y + 10), rng.choice(["a", " b ", "", "c1"])) for p in range(40) for i, (x, y) in enumerate((rng.choice([0, 2, 45, 100, 210]), rng.choice([0, 3, 20, 40, 60])) for _ in range(rng.randrange(1, 14)))]
+    d = spark.createDataFrame(rows, COLUMNS)
+    c = D.cells(D.row_groups(d, ["p"], F.lit(8.0)), ["p"], F.lit(6.0))
+    want = sorted(map(repr, map(tuple, D.assign_cells(c, D.column_centers(c, D.column_count(c, ["p"]), ["p"]), ["p"]).collect())))
+    assert sorted(map(repr, map(tuple, D.place(d, ["p"], F.lit(8.0), F.lit(6.0)).collect()))) == want and len(want) > 50
+
+
+def test_grid_nulls(spark):
+    """Null tops and sides neither fail nor join rows."""
+    rows = [(1, i, x, x + 50 if i != 3 else None, y, y + 10 if y is not None else None, "t") for i, (x, y) in enumerate([(0.0, 0.0), (300.0, 0.0), (0.0, 20.0), (300.0, 20.0), (0.0, None), (300.0, None)])]
+    g = D.reconstruct(spark.createDataFrame(rows, COLUMNS), ["p"]).first()
+    assert g["cols"] == 2 and len(g["rows"]) == 1
+
+
 def test_empty_and_missing(spark):
     """A page without layout, one without regions, one whose boxes are all noise, and null keys."""
     r = spark.createDataFrame([(1, 0, 0.0, 10.0, 0.0, 5.0, "alone"), (3, 0, 0.0, 10.0, 0.0, 5.0, "in noise"), (3, 1, 0.0, 10.0, 90.0, 95.0, "out"), (None, 0, 0.0, 10.0, 0.0, 5.0, "null")], COLUMNS)
