@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quire import staging
 from quire.functions import text as X
 from quire.operators import blocks as B
 from quire.operators import columns as C
@@ -90,6 +91,16 @@ def test_grids_brought_together_once(spark, name):
     assert plan.count("Relation [") <= 2
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["fallback_order", "cell_assignment"])
+def test_parts_by_input(spark, monkeypatch, name):
+    """Pages are gathered in the parts that the input calls for, without another shuffle into a fixed number."""
+    monkeypatch.setattr(staging, "PART_BYTES", os.path.getsize(f"{SF}/lineitem.parquet") // 20)
+    d = entry.queries()[name](spark, SF)
+    assert d.rdd.getNumPartitions() >= 20
+    assert "ENSURE_REQUIREMENTS" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_place(spark):
     """The same as rows, cells, columns and nearest columns made one after the other."""
     rng = random.Random(3)
